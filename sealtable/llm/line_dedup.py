@@ -100,17 +100,16 @@ def apply_drops(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_
         docs[f"`{id_col}`"].eqNullSafe(marks["__doc"]) & (F.xxhash64(docs[f"`{text_col}`"]) == marks["__digest"]),
         "left",
     )
-    lines, runs = _lines(F.col(f"`{text_col}`")), F.col("__runs")
+    joined = joined.withColumn("__lines", _lines(F.col(f"`{text_col}`")))
+    lines, runs = F.col("__lines"), F.col("__runs")
     # The bitmap unpacked: the length of the lines' array at most, and read by index.
     gone = F.flatten(F.transform(runs, lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     text = F.when(runs.isNull(), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).otherwise(
         F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     )
-    n_lines = F.size(lines).cast("long")
-    return joined.withColumns({text_col: text, "n_lines": n_lines, "n_dropped": F.coalesce(F.col("__n"), F.lit(0)).cast("long")}).drop(
-        "__doc", "__digest", "__n", "__runs"
-    )
+    counts = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.col("__n"), F.lit(0)).cast("long")}
+    return joined.withColumns({text_col: text} | counts).drop("__doc", "__digest", "__n", "__runs", "__lines")
 
 
 def dedup_lines(
