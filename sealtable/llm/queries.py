@@ -7,23 +7,75 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import held_out, read_table
+from .decontaminate import contamination_report
 from .line_dedup import dedup_lines
+from .quality_compression import THRESHOLD, fit_compression, score_quality
+from .quality_rules import judge_quality
 from .sharding import shard_manifest
+from .simhash import near_components
+from .toxicity import fit_toxicity, score_toxicity
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_components(_documents(spark, sf_dir), shingle=3, max_bits=2)
+    return found.select(
+        F.col("doc").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = dedup_lines(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judge_quality(_documents(spark, sf_dir)).withColumnRenamed("doc", "doc_id")
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rows.select("doc_id", *base)
+
+
+def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
+    predicted = F.when(F.col("score") >= threshold, 1).otherwise(0)
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_toxicity(docs, read_table(spark, sf_dir, "labels"))
+    return _verdicts(score_toxicity(docs, model), 0.5)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination_report(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select(F.col("doc").alias("doc_id"), "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = shard_manifest(read_table(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=16)
+    rows = shard_manifest(_documents(spark, sf_dir), n_shards=16)
     return rows.withColumn("law", F.lit("key"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_compression(docs, read_table(spark, sf_dir, "labels"))
+    return _verdicts(score_quality(docs, model), THRESHOLD)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_simhash": op1_simhash,
         "op2_line_dedup": op2_line_dedup,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_toxicity": op4_toxicity,
+        "op5_decontamination": op5_decontamination,
         "op8_sharding": op8_sharding,
+        "op10_quality_classifier": op10_quality_classifier,
     }
