@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,19 +21,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the cluster's shared checkpoint folder and read it from there.
-
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset
-    (tests, a laptop) a temporary folder takes its place.
-    """
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder: the session's ``spark.checkpoint.dir``, or, where that is unset (tests), a temporary one."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sealtable-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage: write ``df`` to the cluster's shared checkpoint folder and read it from there."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of wide rows: a Parquet table in the shared folder, deleted when the driver ends."""
+    spark = df.sparkSession
+    folder = f"{_shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(path)
+    return spark.read.parquet(folder)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. Pure ASCII takes the engine's fast path; the rest is mapped by character."""
     is_ascii = F.octet_length(text) == F.length(text)

@@ -19,7 +19,9 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,23 +106,58 @@ def find_items(
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc"), F.xxhash64(f"`{text_col}`").alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
+    found = None
+    for index in _indexes(rows.select("text"), benchmark, window, item_col, item_text_col, block_bytes):
+        part = _find_block(rows, index)
+        found = part if found is None else _merged(found, part)
+    return found
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    min_items: int = 1,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` with passages of fewer than ``min_items`` items, columns unchanged; no text is shuffled."""
+    text = F.col(f"`{text_col}`").cast("string")
+    counts = [_item_counter(index)(text) for index in _indexes(docs.select(text.alias("text")), benchmark, window, item_col, item_text_col, block_bytes)]
+    return docs.filter(sum(counts[1:], counts[0]) < min_items)
+
+
+def _item_counter(index: Broadcast):
+    @F.pandas_udf("int")
+    def count(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in series:
+            yield pd.Series([len(index.value.find(item_words(t))[1]) for t in texts], dtype="int32")
+
+    return count
+
+
+def _indexes(
+    texts: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text_col: str, block_bytes: int
+) -> Iterator[Broadcast]:
+    """A broadcast index for each block of whole items; there is at least one block."""
     bench = benchmark.select(
         F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{item_text_col}`").alias("text")
     )
     size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
-    found = None
+    block = F.pmod(F.xxhash64("item"), F.lit(n_blocks))
     for number in range(n_blocks):
         items = [(r["item"], r["text"]) for r in bench.filter(block == number).distinct().collect()]
-        part = _find_block(rows, items, window)
-        found = part if found is None else _merged(found, part)
-    return found
+        yield texts.sparkSession.sparkContext.broadcast(WindowIndex(items, _rarity(texts, items), window))
 
 
-def _find_block(rows: DataFrame, items: list[tuple[str, str | None]], window: int) -> DataFrame:
-    context = rows.sparkSession.sparkContext
-    vocabulary = context.broadcast({word for _, text in items for word in item_words(text)})
+def _rarity(texts: DataFrame, items: list[tuple[str, str | None]]) -> dict[bytes, int]:
+    """Documents that hold each word of the block, counted over all of them."""
+    vocabulary = texts.sparkSession.sparkContext.broadcast({word for _, text in items for word in item_words(text)})
+    if not vocabulary.value:
+        return {}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = vocabulary.value, Counter()
@@ -131,12 +168,12 @@ def _find_block(rows: DataFrame, items: list[tuple[str, str | None]], window: in
             [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
         )
 
-    rarity = {}
-    if vocabulary.value:
-        counted = rows.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-        # At most one row for each word of the block.
-        rarity = {bytes(r["word"]): r["n"] for r in counted.collect()}
-    index = context.broadcast(WindowIndex(items, rarity, window))
+    counted = texts.mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    # At most one row for each word of the block.
+    return {bytes(r["word"]): r["n"] for r in counted.collect()}
+
+
+def _find_block(rows: DataFrame, index: Broadcast) -> DataFrame:
     runs_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
