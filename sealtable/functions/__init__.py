@@ -1 +1 @@
-"""functions"""
+"""Column functions: canonical JSON, hashes and predicates."""
