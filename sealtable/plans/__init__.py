@@ -1 +1 @@
-"""plans"""
+"""Registered queries over the driver's tables, built from the engine's operators."""
