@@ -1,0 +1,326 @@
+"""The database end to end: tables, rows, hashes, indexes, transactions, files, command line."""
+
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from sealtable.cli import main, run
+from sealtable.database import Database
+from sealtable.errors import ConflictError, DatabaseError, IndexFailure, TableError, TransactionError
+from sealtable.functions.canonical import calculate_row_hash
+from sealtable.managers import HashManager, IndexManager
+from sealtable.sources import admin, jsonio
+from sealtable.streaming.ingest import append_stream, duplicate_stream
+from sealtable.transactions import TransactionManager
+
+USERS = {"name": str, "age": int, "email": str, "active": bool}
+
+
+def _user(name, age=30, active=True):
+    return {"name": name, "age": age, "email": f"{name}@x.org", "active": active}
+
+
+@pytest.fixture
+def users(db):
+    db.create_table("users", USERS, enable_hash_index=True)
+    db.insert_many("users", [_user("ann"), _user("bob", 40, False), _user("cat"), _user("ann")])
+    return db
+
+
+class TestOpening:
+    def test_nested_folders_and_reopening(self, spark, tmp_path):
+        path = str(tmp_path / "a" / "b" / "db")
+        db = Database(spark, path)
+        db.create_table("t", {"name": str})
+        db.insert("t", {"name": "kept"})
+        again = Database(spark, path, auto_create=False)
+        assert [r["name"] for r in again.select("t")] == ["kept"]
+
+    def test_missing_without_auto_create(self, spark, tmp_path):
+        with pytest.raises(DatabaseError):
+            Database(spark, str(tmp_path / "none"), auto_create=False)
+
+    def test_corrupt_file_or_manifest(self, spark, tmp_path):
+        file = tmp_path / "file"
+        file.write_bytes(b"garbage")
+        with pytest.raises(DatabaseError):
+            Database(spark, str(file), auto_create=False)
+        assert Database(spark, str(file)).tables == {}
+        assert any("corrupt" in n for n in os.listdir(tmp_path))
+        broken = Database(spark, str(tmp_path / "db"))
+        for name in os.listdir(tmp_path / "db" / "manifests"):
+            (tmp_path / "db" / "manifests" / name).write_text("{")
+        for crc in (tmp_path / "db" / "manifests").glob(".*.crc"):
+            crc.unlink()
+        with pytest.raises(DatabaseError):
+            Database(spark, broken.path, auto_create=False)
+        assert Database(spark, broken.path).tables == {}
+
+    def test_a_dead_writer_leaves_the_old_state(self, users):
+        state = users.catalog.draft()
+        users.stage_delete(state, "users", {})
+        fresh = Database(users.spark, users.path)
+        assert len(fresh.select("users")) == 4
+        assert fresh.vacuum()["deleted_folders"] == 1
+
+    def test_second_writer_conflicts(self, users):
+        other = Database(users.spark, users.path)
+        other.insert("users", _user("dan"))
+        with pytest.raises(ConflictError):
+            users.insert("users", _user("eve"))
+        users.catalog.refresh()
+        users.insert("users", _user("eve"))
+        assert len(users.select("users")) == 6
+
+
+class TestTables:
+    def test_types_and_info(self, db):
+        info = db.create_table("all", {"s": str, "i": int, "f": float, "b": bool})
+        assert info["columns"] == ["s", "i", "f", "b"] and not info["enable_hash_index"]
+        assert [f.dataType.simpleString() for f in db.frame("all").schema.fields][2:6] == ["string", "bigint", "double", "boolean"]
+        with pytest.raises(TableError):
+            db.create_table("all", {})
+        db.drop_table("all")
+        assert db.tables == {}
+
+
+class TestRows:
+    def test_insert_checks(self, users):
+        with pytest.raises(TableError):
+            users.insert("none", {})
+        with pytest.raises(ValueError):
+            users.insert("users", {"name": "x"})
+        with pytest.raises(TypeError):
+            users.insert("users", _user("x", "thirty"))
+        with pytest.raises(OverflowError):
+            users.insert("users", _user("x", 1 << 70))
+        row_id, digest = users.insert("users", _user("zoe", 5), return_hash=True)
+        assert row_id == 5 and digest == calculate_row_hash(_user("zoe", 5))
+
+    def test_select(self, users):
+        assert [r["id"] for r in users.select("users")] == [1, 2, 3, 4]
+        assert [r["id"] for r in users.select("users", {"age": 30, "active": True})] == [1, 3, 4]
+        assert [r["id"] for r in users.select("users", {"age": 30}, limit=2)] == [1, 3]
+        assert len(users.select("users", limit=0)) == 4
+        with pytest.raises(ValueError):
+            users.select("users", limit=-1)
+        with pytest.raises(TableError):
+            users.select("none")
+
+    def test_update_and_delete(self, users):
+        assert users.update("users", {"name": "ann"}, {"age": 31}) == 2
+        assert users.update("users", {"name": "nobody"}, {"age": 31}) == 0
+        assert {r["age"] for r in users.select("users", {"name": "ann"})} == {31}
+        assert users.verify_hash_integrity("users")["invalid_hashes"] == 0
+        with pytest.raises(ValueError):
+            users.update("users", {}, {"salary": 1})
+        with pytest.raises(TypeError):
+            users.update("users", {}, {"age": "x"})
+        assert users.update("users", {"name": "cat"}, {"email": None}) == 1
+        assert users.select("users", {"email": None})[0]["name"] == "cat"
+        assert users.delete("users", {"email": "bob@x.org"}) == 1
+        assert users.delete("users", {"value": {"$lt": 50}}) == 0
+        assert users.insert("users", _user("new")) == 5
+        assert users.delete("users", {}) == 4 and users.select("users") == []
+
+    def test_undeclared_fields_count(self, users):
+        row = {**_user("eve"), "note": "é", "tags": [1, "a"]}
+        digest = users.insert("users", row, return_hash=True)[1]
+        found = users.select("users", {"note": "é"})[0]
+        assert found["tags"] == [1, "a"] and found["hash"] == digest == calculate_row_hash(row)
+        assert users.verify_hash_integrity("users")["invalid_hashes"] == 0
+        assert len(users.select("users", {"note": None})) == 4
+
+    def test_own_ids_and_many_rows(self, db):
+        db.create_table("large", {"id": int, "data": str})
+        db.insert_many("large", [{"id": i, "data": f"row{i}"} for i in range(1000)])
+        assert len(db.select("large")) == 1000 and db.select("large", {"id": 500})[0]["data"] == "row500"
+
+    def test_frames(self, spark, db):
+        db.create_table("t", {"k": int, "v": str})
+        frame = spark.range(5000).select(F.col("id").alias("k"), F.col("id").cast("string").alias("v")).repartition(7)
+        assert db.insert_frame("t", frame, ["k"]) == 5000
+        assert db.insert_frame("t", frame.limit(0)) == 0
+        assert db.frame("t").filter("id <> k + 1 or _seq <> k").count() == 0
+        assert db.insert("t", {"k": 1, "v": "x"}) == 5001
+        assert db.sql("SELECT count(*) AS n FROM t WHERE k = 1").first()["n"] == 2
+
+
+class TestHashes:
+    def test_lookups(self, users):
+        digest = calculate_row_hash(_user("ann"))
+        assert [r["id"] for r in users.find_by_hash("users", digest)] == [1, 4]
+        assert [r["id"] for r in users.find_by_hash("users", digest[:6], exact_match=False)] == [1, 4]
+        assert users.find_by_hash("none", digest) == []
+        assert [r["id"] for r in users.find_by_hashed_value("users", _user("bob", 40, False))] == [2]
+        assert [r["id"] for r in users.find_by_hashed_value("users", "cat")] == [3]
+        assert [r["id"] for r in users.find_by_hash_and_column("users", digest, "id", 4)] == [4]
+        assert [r["id"] for r in users.select("users", {"hash": digest, "id": 1}, use_hash=True)] == [1]
+
+    def test_statistics_verify_repair(self, users):
+        stats = users.get_hash_statistics("users")
+        assert (stats["total_rows"], stats["unique_hashes"], stats["duplicate_hash_count"], stats["hash_collision_rate"]) == (4, 3, 1, 0.25)
+        assert list(stats["duplicate_hashes"].values()) == [[1, 4]]
+        state = users.catalog.draft()
+        table = users.catalog.table("users", state)
+        hurt = users.frame("users").withColumn("hash", F.when(F.col("id") == 2, "bad").when(F.col("id") != 3, F.col("hash")))
+        table["segments"] = [users.catalog.write_segment("users", table, hurt)]
+        users.catalog.commit(state)
+        report = users.verify_hash_integrity("users")
+        assert report["invalid_hashes"] == 2 and {r["id"] for r in report["corrupted_rows"]} == {2, 3}
+        assert users.repair_hash_index("users") == {"repaired_rows": 4, "unique_hashes": 3}
+        assert users.verify_hash_integrity("users")["invalid_hashes"] == 1
+        manager = HashManager(users)
+        assert not manager.compare_hashes("users", 2) and manager.compare_hashes("users", 3) and not manager.compare_hashes("users", 99)
+        manager.repair_hash_index("users", recompute=True)
+        assert users.verify_hash_integrity("users")["invalid_hashes"] == 0
+        assert users.hash_index("users").count() == 4
+        with pytest.raises(ValueError):
+            users.verify_hash_integrity("none")
+
+    def test_bloom_filter_is_written(self, users, tmp_path):
+        import pyarrow.parquet as pq
+
+        segment = users.tables["users"]["segments"][0]
+        files = [f for f in (tmp_path / "db" / segment).glob("*.parquet") if pq.ParquetFile(f).metadata.num_rows]
+        assert files
+
+
+class TestIndexes:
+    def test_index(self, users):
+        manager = IndexManager(users)
+        manager.create_index("users", "age", "by_age")
+        with pytest.raises(IndexFailure):
+            manager.create_index("users", "age", "by_age")
+        with pytest.raises(TableError):
+            manager.create_index("none", "age", "other")
+        users.update("users", {"name": "cat"}, {"age": 40})
+        assert [r["id"] for r in manager.find_by_index("by_age", 40)] == [2, 3]
+        assert [tuple(r) for r in manager.entries("by_age").orderBy("key", "id").collect()] == [(30, 1), (30, 4), (40, 2), (40, 3)]
+        stats = manager.index_statistics("by_age")
+        assert (stats["unique_values"], stats["total_entries"], stats["type"]) == (2, 4, "btree")
+        assert IndexManager(Database(users.spark, users.path)).indexes.keys() == {"by_age"}
+        manager.drop_index("by_age")
+        with pytest.raises(IndexFailure):
+            manager.find_by_index("by_age", 1)
+
+
+class TestTransactions:
+    def test_commit_rollback_and_travel(self, users):
+        manager = TransactionManager(users)
+        with manager.begin() as work:
+            work.insert("users", _user("dan"))
+            work.update("users", {"name": "dan"}, {"age": 1})
+            work.delete("users", {"name": "bob"})
+            work.insert("users", _user("eve"))
+        first = manager.get_transactions()[0]["id"]
+        assert [r["id"] for r in users.select("users")] == [1, 3, 4, 5, 6]
+        assert users.select("users", {"name": "dan"})[0]["age"] == 1
+        assert users.verify_hash_integrity("users")["invalid_hashes"] == 0
+        manager.begin().delete("users", {})
+        with pytest.raises(TransactionError):
+            manager.begin()
+        manager.rollback()
+        with pytest.raises(TransactionError):
+            manager.rollback()
+        assert len(users.select("users")) == 5
+        manager.rollback_to(first)
+        assert [r["name"] for r in users.select("users")] == ["ann", "bob", "cat", "ann"]
+        assert {t["status"] for t in manager.get_transactions()} == {"rolled_back"}
+        with pytest.raises(TransactionError):
+            manager.rollback_to("none")
+
+    def test_failure_changes_nothing(self, users):
+        manager = TransactionManager(users)
+        with pytest.raises(TypeError):
+            work = manager.begin()
+            work.delete("users", {})
+            work.insert("users", _user("bad", "x"))
+            manager.commit()
+        assert len(users.select("users")) == 4 and manager.current_transaction is not None
+
+
+class TestFiles:
+    def test_json_round_trip(self, users, spark, tmp_path):
+        path = str(tmp_path / "dump.json")
+        users.create_table("empty", {"x": float})
+        assert jsonio.export_to_json(users, path)["rows"] == {"users": 4, "empty": 0}
+        dump = json.load(open(path))
+        assert dump["metadata"]["version"] == "1.0" and dump["tables"]["users"]["schema"]["age"] == "int"
+        copy = Database(spark, str(tmp_path / "copy"))
+        assert jsonio.import_from_json(copy, path) == {"users": 4, "empty": 0}
+        assert copy.select("users") == users.select("users")
+        with pytest.raises(TableError):
+            jsonio.import_from_json(copy, path)
+        dump["tables"] = {"fresh": {"schema": {"a": "odd"}, "rows": [{"a": "x"}]}, "users": dump["tables"]["users"]}
+        json.dump(dump, open(path, "w"))
+        with pytest.raises(TableError):
+            jsonio.import_from_json(copy, path)
+        assert set(copy.tables) == {"users", "empty"}
+
+    def test_lines(self, users, spark, tmp_path):
+        jsonio.export_lines(users.frame("users"), str(tmp_path / "lines"))
+        users.create_table("again", USERS)
+        assert jsonio.import_lines(users, "again", str(tmp_path / "lines")) == 4
+        hashes = lambda t: sorted(r["hash"] for r in users.select(t))
+        assert hashes("again") == hashes("users")
+
+    def test_backup_restore_vacuum_sizes(self, users, tmp_path):
+        path = str(tmp_path / "backup")
+        assert admin.backup(users, path)["size"] > 0
+        with pytest.raises(DatabaseError):
+            admin.backup(users, path)
+        users.delete("users", {})
+        users.vacuum()
+        admin.restore(users, path)
+        assert len(users.select("users")) == 4
+        users.insert("users", _user("x"))
+        assert admin.get_table_size(users, "users")["page_count"] == 2
+        users.vacuum()
+        size = admin.get_table_size(users, "users")
+        assert size["page_count"] == 1 and size["row_count"] == 5 and size["hash_index_enabled"]
+        assert [r["id"] for r in users.select("users")] == [1, 2, 3, 4, 5]
+        assert admin.get_database_info(users)["total_rows"] == 5
+
+
+class TestCommands:
+    def test_session(self, spark, tmp_path):
+        base = ["--db", str(tmp_path / "db")]
+        call = lambda *a: run([*base, *a], spark)
+        call("create")
+        call("table", "create", "t", "--schema", '{"name": "str", "n": "int"}', "--hash-index")
+        first = call("insert", "t", "--data", '{"name": "a", "n": 1}')
+        call("insert", "t", "--data", '[{"name": "b", "n": 2}, {"name": "c", "n": 2}]')
+        assert len(call("select", "t", "--where", '{"n": 2}', "--limit", "1")) == 1
+        assert call("select", "t", "--hash", first["hash"])[0]["id"] == 1
+        assert call("update", "t", "--where", '{"n": 2}', "--set", '{"n": 3}') == {"updated": 2}
+        assert call("delete", "t", "--where", '{"name": "c"}') == {"deleted": 1}
+        assert call("hash", "verify", "t")["valid_hashes"] == 2
+        assert call("hash", "stats", "t")["unique_hashes"] == 2
+        assert call("hash", "repair", "t")["repaired_rows"] == 2
+        call("export", str(tmp_path / "d.json"))
+        assert run(["--db", str(tmp_path / "e"), "import", str(tmp_path / "d.json")], spark) == {"t": 2}
+        call("backup", str(tmp_path / "b"))
+        assert call("info")["tables_count"] == 1 and call("install") == {"status": "ok"} and call("close") == {"status": "ok"}
+        assert main([*base, "select", "none"]) == 1
+
+
+class TestStreams:
+    def test_append_once(self, spark, db, tmp_path):
+        db.create_table("s", {"k": int, "v": str})
+        for part in range(2):
+            spark.range(part * 10, part * 10 + 10).selectExpr("id as k", "'x' as v").write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema("k long, v string").parquet(str(tmp_path / "in"))
+            append_stream(db, "s", stream, str(tmp_path / "check")).awaitTermination()
+            append_stream(db, "s", stream, str(tmp_path / "check")).awaitTermination()
+        assert sorted(r["k"] for r in db.select("s")) == list(range(20))
+        assert db.verify_hash_integrity("s")["invalid_hashes"] == 0
+
+    def test_duplicates(self, spark, tmp_path):
+        spark.sql("SELECT timestamp'2024-01-01 00:00:00' AS t, id % 3 AS k FROM range(9)").write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("t timestamp, k long").parquet(str(tmp_path / "in"))
+        query = duplicate_stream(stream, "t", "1 hour").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table("firsts").count() == 3
