@@ -47,6 +47,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+def staged(column: Column) -> Column:
+    """``column``, computed once where it stands.
+
+    The optimizer may copy a column's expression to wherever it is used: into a
+    filter pushed below it, or into a lambda that reads an array by index, where
+    it would be computed anew for each element. The condition here is always
+    true, but keeps the expression from being moved.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z alone. Pure ASCII takes the engine's fast path; the rest is mapped by character."""
     is_ascii = F.octet_length(text) == F.length(text)

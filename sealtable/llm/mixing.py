@@ -15,18 +15,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, words
+from .common import checkpointed, staged, words
 
 #: Labelled rows the classifier is fitted on; buckets of hashed words.
-MAX_ROWS, FEATURES = 6000, 1 << 15
+MAX_ROWS, FEATURES = 6000, 1 << 14
 #: Most iterations, and the error of a domain's share at which they end.
-MAX_STEPS, TOLERANCE = 40, 1e-4
+MAX_STEPS, TOLERANCE = 12, 1e-4
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,7 @@ class DomainModel:
         hashed = _hashed(docs.withColumn("__words", words(F.col(f"`{text_col}`"))))
         hashed = hashed.withColumn("__tokens", F.size("__words").cast("long")).drop("__words")
         scored = self.model.transform(hashed)
-        return scored.withColumn("__p", vector_to_array("__probability")).drop("__terms", "__probability", "__raw", "__prediction")
+        return scored.withColumn("__p", staged(vector_to_array("__probability"))).drop("__terms", "__probability", "__raw", "__prediction")
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -75,7 +76,8 @@ def fit_domains(
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
     # Bounded by max_rows rows of an id and a name, so this side may be sent to every executor.
     rows = texts.join(F.broadcast(chosen), "__id").select(words(F.col("__text")).alias("__words"), label.alias("__label"))
-    rows = checkpointed(_hashed(rows).select("__terms", "__label"))
+    # A bounded sample: each partition more would send one gradient more in every iteration.
+    rows = checkpointed(_hashed(rows).select("__terms", "__label")).coalesce(4)
     seen = [int(r[0]) for r in rows.select("__label").distinct().collect()]
     if len(seen) < 2:
         fixed = [float(k in seen) if seen else 1.0 / len(domains) for k in range(len(domains))]
@@ -88,7 +90,7 @@ def fit_domains(
         predictionCol="__prediction",
         family="multinomial",
         regParam=0.01,
-        maxIter=30,
+        maxIter=15,
     )
     # A last domain without rows must not shorten the posterior: one row of next to no weight stands for each.
     each = F.explode(F.array(*[F.lit(float(k)) for k in range(len(domains))]))
@@ -129,38 +131,53 @@ def fit_mix(
 ) -> Mix:
     """Rates within [``least``, ``most``] for ``members`` (``__tokens``, ``__p``).
 
-    The aim is the least sum over domains of (expected - target tokens)^2 /
-    tokens now, from rate 1 on; divided so, a unit step never overshoots, and
-    small domains converge as fast as large ones. The total is what is there,
-    or, with ``keep_all``, as much as the most over-represented domain needs to
-    keep all it has. Domains without tokens are left out of the aim. No
-    documents: no steps.
+    The aim is the least sum over domains of (expected - target tokens)^2 from
+    rate 1 on. A step moves each rate along its posterior, so that it stays an
+    expression of it, and is then projected into the limits. The gradient is
+    scaled by the inverse of the domains' token overlap among the documents
+    whose rates can still move, which without limits is exact in one step;
+    where that did not bring the totals nearer, the next step is scaled by the
+    domains' tokens instead, which never overshoots. The total is what is
+    there, or, with ``keep_all``, as much as the most over-represented domain
+    needs to keep all it has. Domains without tokens are left out of the aim.
+    No documents: no steps.
     """
     mix = Mix(tuple(domains), least, most)
-    share = [weights[d] / sum(weights.values()) for d in domains]
-    base, before = None, None
+    n = range(len(domains))
+    share = np.array([weights[d] for d in domains]) / sum(weights.values())
+    base, best, safe = None, np.inf, False
     while True:
-        rate = mix.rate(F.col("__p"))
-        tokens = F.col("__tokens").cast("double") * rate
-        sums = members.agg(*[F.sum(tokens * F.get("__p", F.lit(k))).alias(f"s{k}") for k in range(len(domains))]).first()
-        now = tuple(float(x or 0.0) for x in sums)
+        rated = members.select("__tokens", "__p", staged(mix.rate(F.col("__p"))).alias("__rate"))
+        part = [F.col("__tokens").cast("double") * F.get("__p", F.lit(k)) for k in n]
+        loose = F.when((F.col("__rate") > least) & (F.col("__rate") < most), 1.0).otherwise(0.0 if mix.steps else 1.0)
+        sums = rated.agg(
+            *[F.sum(part[k] * F.col("__rate")) for k in n],
+            *[F.sum(part[k] * F.get("__p", F.lit(j)) * loose) for k in n for j in n],
+        ).first()
+        found = np.array([float(x or 0.0) for x in sums])
+        now, overlap = found[: len(n)], found[len(n) :].reshape(len(n), len(n))
         if base is None:
-            base = now
-            live = [k for k, x in enumerate(base) if x > 0]
-            if not live:
+            base = overlap.sum(axis=1)
+            live = base > 0
+            if not live.any():
                 return mix
-            total = sum(base)
-            if keep_all:
-                total = max(base[k] / share[k] for k in live if share[k] > 0)
-            mix.targets = tuple(s * total for s in share)
-        mix.expected = now
-        error = max(abs(now[k] - mix.targets[k]) for k in live) / sum(mix.targets)
-        # Where the limits on rates keep the totals from the targets, the steps stop changing them.
-        stuck = before is not None and max(abs(a - b) for a, b in zip(now, before)) < 1e-3 * tolerance * total
-        if error <= tolerance or stuck or len(mix.steps) == max_steps:
+            total = max(base[live & (share > 0)] / share[live & (share > 0)], default=base.sum()) if keep_all else base.sum()
+            mix.targets = tuple(float(x) for x in share * total)
+        mix.expected = tuple(float(x) for x in now)
+        off = np.where(live, now - np.array(mix.targets), 0.0)
+        error = float(np.abs(off).max() / sum(mix.targets))
+        if error <= tolerance or len(mix.steps) == max_steps:
             break
-        mix.steps.append(tuple((now[k] - mix.targets[k]) / base[k] if k in live else 0.0 for k in range(len(domains))))
-        before = now
+        # A step that brought little is followed by a safe one; a safe one that did ends the search.
+        slow = error > 0.9 * best
+        if slow and safe and error > 0.999 * best:
+            break
+        safe, best = slow, min(best, error)
+        step = off / np.where(live, base, 1.0)
+        if not safe:
+            ridge = 1e-6 * base.max() * np.eye(len(n))
+            step = np.where(live, np.linalg.solve(overlap + ridge, off), 0.0)
+        mix.steps.append(tuple(float(x) for x in step))
     return mix
 
 
@@ -215,6 +232,6 @@ def mix_documents(
     members = checkpointed(model.posteriors(docs.select(F.col(f"`{text_col}`").alias("text"))).select("__tokens", "__p"))
     mix = fit_mix(members, model.domains, weights, **limits)
     copies = _copies(F.col("__rate"), F.col(f"`{id_col}`"), F.xxhash64(f"`{text_col}`"))
-    rated = model.posteriors(docs, text_col).withColumn("__rate", mix.rate(F.col("__p")))
+    rated = model.posteriors(docs, text_col).withColumn("__rate", staged(mix.rate(F.col("__p"))))
     repeated = rated.withColumn("__copies", copies).filter("__copies > 0")
     return repeated.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in columns])

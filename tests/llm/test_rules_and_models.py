@@ -164,27 +164,37 @@ def test_pairs_weigh_more_than_their_parts():
     assert score("tree dolt guild") > 0.5 > max(score("tree dolt"), score("tree guild"), score("tree"))
 
 
-def slow_mix(p, tokens, targets, base, least, most, steps):
+def replayed(p, steps, least, most):
     rate = np.clip(np.ones(len(p)), least, most)
-    for _ in range(steps):
-        now = (p * (tokens * rate)[:, None]).sum(0)
-        rate = np.clip(rate - p @ ((now - targets) / base), least, most)
+    for step in steps:
+        rate = np.clip(rate - p @ np.array(step), least, most)
     return rate
 
 
-def test_mixing_rates(spark):
+def least_squares(p, tokens, targets, least, most):
+    """Plain projected gradient, run long: rates whose domain totals are as near the targets as the limits let them be."""
+    rate, base = np.clip(np.ones(len(p)), least, most), (p * tokens[:, None]).sum(0)
+    for _ in range(5000):
+        rate = np.clip(rate - 0.5 * p @ (((p * (tokens * rate)[:, None]).sum(0) - targets) / base), least, most)
+    return (p * (tokens * rate)[:, None]).sum(0)
+
+
+@pytest.mark.parametrize(("least", "most", "keep_all"), [(0.0, 5.0, False), (0.0, 1.4, False), (1.0, 4.0, True), (1.0, 1.2, True)])
+def test_mixing_rates(spark, least, most, keep_all):
     rng = np.random.RandomState(4)
     p, tokens = rng.dirichlet([0.4, 0.4, 0.4], 400), rng.randint(0, 500, 400)
     members = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p)], "__tokens long, __p array<double>")
-    weights = {"a": 0.6, "b": 0.3, "c": 0.1}
-    mix = fit_mix(members, list("abc"), weights, most=5.0)
-    assert np.allclose(np.array(mix.expected) / sum(mix.expected), [0.6, 0.3, 0.1], atol=1e-3)
-    got = [r[0] for r in members.select(mix.rate(F.col("__p"))).collect()]
-    base = (p * tokens[:, None]).sum(0)
-    assert np.allclose(got, slow_mix(p, tokens, np.array(mix.targets), base, 0.0, 5.0, len(mix.steps)))
-    tight = fit_mix(members, list("abc"), weights, least=1.0, most=1.2, keep_all=True)
-    assert all(1.0 <= r[0] <= 1.2 for r in members.select(tight.rate(F.col("__p"))).collect())
-    assert fit_mix(members.limit(0), list("abc"), weights).steps == []
+    mix = fit_mix(members, list("abc"), {"a": 0.6, "b": 0.3, "c": 0.1}, least, most, keep_all)
+    rates = np.array([r[0] for r in members.select(mix.rate(F.col("__p"))).collect()])
+    assert np.allclose(rates, replayed(p, mix.steps, least, most)) and rates.min() >= least and rates.max() <= most
+    now = (p * (tokens * rates)[:, None]).sum(0)
+    assert np.allclose(now, mix.expected)
+    targets = np.array(mix.targets)
+    error = lambda x: np.abs(x - targets).max() / targets.sum()
+    assert error(now) <= error(least_squares(p, tokens, targets, least, most)) + 0.02
+    if most == 5.0:
+        assert error(now) < 1e-3
+    assert fit_mix(members.limit(0), list("abc"), {"a": 0.6, "b": 0.3, "c": 0.1}).steps == []
 
 
 def test_mixing_documents(spark, corpus):
