@@ -77,7 +77,9 @@ def near_links(fps: DataFrame, max_bits: int = 2, light: int = LIGHT) -> DataFra
     """Edges (a, b) that connect distinct fingerprints ``fp`` as all pairs within ``max_bits`` bits would."""
     if not 0 <= max_bits <= 2:
         raise ValueError("two halves with one wildcard each are meant for at most two differing bits")
-    halves = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
+    # Each row becomes 64: so few bytes would else be put together into a few tasks beforehand.
+    spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    halves = fps.repartition(spread, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
     half = F.when(F.col("v") < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     wiped = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, v % 32)")))
     index = halves.select(F.expr("shiftleft(cast(v as bigint), 32)").bitwiseOR(wiped).alias("key"), "fp")

@@ -42,8 +42,10 @@ def roots(edges):
     return {x: find(x) for x in parent}
 
 
+@pytest.mark.parametrize("local_edges", [500_000, 15])
 @pytest.mark.parametrize("shape", ["path", "star", "random", "none"])
-def test_components(spark, shape):
+def test_components(spark, shape, local_edges):
+    """Also where no task holds the whole graph."""
     rng = random.Random(3)
     edges = {
         "path": [(i, i + 1) for i in range(60)],
@@ -51,7 +53,7 @@ def test_components(spark, shape):
         "random": [(rng.randrange(80), rng.randrange(80)) for _ in range(60)],
         "none": [],
     }[shape]
-    found = connected_components(spark.createDataFrame(edges, "a long, b long"))
+    found = connected_components(spark.createDataFrame(edges, "a long, b long"), local_edges)
     expected = roots([e for e in edges if e[0] != e[1]])
     assert {r["node"]: r["root"] for r in found.collect()} == expected
 
