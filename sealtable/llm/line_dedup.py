@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower
+from .common import SPACE_CHARS, ascii_lower, staged
 
 #: Parts among which the documents of one line key are dealt, so that no line is a hot key.
 SALTS = 64
@@ -100,7 +100,7 @@ def apply_drops(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", text_
         docs[f"`{id_col}`"].eqNullSafe(marks["__doc"]) & (F.xxhash64(docs[f"`{text_col}`"]) == marks["__digest"]),
         "left",
     )
-    joined = joined.withColumn("__lines", _lines(F.col(f"`{text_col}`")))
+    joined = joined.withColumn("__lines", staged(_lines(F.col(f"`{text_col}`"))))
     lines, runs = F.col("__lines"), F.col("__runs")
     # The bitmap unpacked: the length of the lines' array at most, and read by index.
     gone = F.flatten(F.transform(runs, lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1)))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, words
+from .common import SPACE_CHARS, staged, words
 
 #: Words in a window that counts as repeated when found again in the text.
 REPEAT_WINDOW = 8
@@ -42,7 +42,7 @@ RULES = (
     Rule("symbol_ratio", None, 0.1),
     Rule("shout_ratio", None, 0.5),
     Rule("stop_word_ratio", 0.05, None),
-    Rule("dup_line_ratio", None, 0.3),
+    Rule("dup_line_ratio", None, 0.5),
 )
 
 
@@ -74,7 +74,7 @@ def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.col("text")
     rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).select(
         "doc",
-        words(text).alias("words"),
+        staged(words(text)).alias("words"),
         F.filter(F.split(text, "\n", -1), lambda line: F.trim(line, F.lit(SPACE_CHARS)) != "").alias("lines"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(text, r"[^A-Z]+", "")).cast("long").alias("n_upper"),
@@ -90,7 +90,7 @@ def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
+        staged(F.transform("words", lambda w: F.xxhash64(w))).alias("hashes"),
     )
     hashes = F.col("hashes")
     window = F.transform(
@@ -99,13 +99,13 @@ def quality_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     # Within one text two different windows share a 64-bit hash with a chance below n^2 / 2^65.
     none = F.array().cast("array<bigint>")
-    rows = rows.withColumn("windows", F.when(F.size(hashes) >= REPEAT_WINDOW, window).otherwise(none)).drop("hashes")
+    rows = rows.withColumn("windows", staged(F.when(F.size(hashes) >= REPEAT_WINDOW, window).otherwise(none))).drop("hashes")
     windows = F.col("windows")
     # Most texts repeat no window; only the others are sorted.
     repeats = F.size(F.array_distinct(windows)) < F.size(windows)
     pairs = F.array_sort(F.transform(windows, lambda h, at: F.struct(h.alias("h"), at.alias("at"))))
-    rows = rows.withColumn("ordered", F.when(repeats, pairs)).drop("windows")
-    rows = rows.withColumn("n_repeat_words", F.coalesce(_repeat_words(F.col("ordered")), F.lit(0)).cast("long")).drop("ordered")
+    rows = rows.withColumn("ordered", staged(F.when(repeats, pairs))).drop("windows")
+    rows = rows.withColumn("n_repeat_words", staged(F.coalesce(_repeat_words(F.col("ordered")), F.lit(0)).cast("long"))).drop("ordered")
     n = F.col("n_words")
     return rows.withColumns(
         {
