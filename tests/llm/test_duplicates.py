@@ -13,7 +13,7 @@ from sealtable.llm import substring
 from sealtable.llm.components import connected_components
 from sealtable.llm.line_dedup import dedup_lines, line_drops
 from sealtable.llm.simhash import keep_one, near_components, near_links, simhash64
-from sealtable.llm.substring import chains, passage_links, repeated_passages, seed_pairs, seeds, word_hashes
+from sealtable.llm.substring import chains, passage_links, passages, repeated_passages, seed_pairs, seeds, word_hashes
 
 SCHEMA = "doc_id long, text string, score double, digest string, root int"
 VOCABULARY = [f"w{i}" for i in range(4000)]
@@ -215,6 +215,24 @@ def test_passages(spark):
     assert repeated_passages(frame(spark, []).limit(0)).count() == 0
 
 
+def test_passages_are_cut_back():
+    """Surroundings that agree loosely don't drag an exact passage below the least similarity."""
+    rng = random.Random(12)
+    exact = [rng.randrange(1 << 31) for _ in range(50)]
+    sides = []
+    for _ in range(2):
+        around = [rng.randrange(1 << 31) for _ in range(2 * 18)]
+        sides.append(around[:18] + exact + around[18:])
+    for at in (2, 8, 14, 72, 78, 84):
+        sides[0][at : at + 2] = sides[1][at : at + 2] = [at, at + 1]
+    (found,) = passages(*sides, 0, 0, [(18 + i, 18 + i) for i in (0, 20, 45)])
+    assert found[0] <= 18 and found[1] >= 68 and found[4] >= 0.8 * (found[1] - found[0])
+    # Ten other words in the middle of a hundred don't part it.
+    one, two = ([rng.randrange(1 << 31) for _ in range(10)] for _ in range(2))
+    left, right = exact[:45], [rng.randrange(1 << 31) for _ in range(45)]
+    assert passages(left + one + right, left + two + right, 0, 0, [(5, 5), (70, 70)]) == [(0, 100, 0, 100, 90)]
+
+
 def longest_common(x, y):
     row = [0] * (len(y) + 1)
     for word in x:
