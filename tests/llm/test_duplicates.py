@@ -233,6 +233,19 @@ def test_passages_are_cut_back():
     assert passages(left + one + right, left + two + right, 0, 0, [(5, 5), (70, 70)]) == [(0, 100, 0, 100, 90)]
 
 
+def test_passage_of_frequent_lines(spark):
+    """Two texts share a passage whose every line many others hold, each among words of its own."""
+    rng = random.Random(21)
+    rows, wanted = [], set()
+    for case in range(8):
+        lines = [words(rng, 12) for _ in range(5)]
+        at = 1000 * case
+        rows += [(at + k, f"{words(rng, 40)} {' '.join(lines)} {words(rng, 40)}") for k in range(2)]
+        rows += [(at + 10 + k, f"{words(rng, 40)} {lines[k % 5]} {words(rng, 40)}") for k in range(500)]
+        wanted |= {at, at + 1}
+    assert {r["doc"] for r in repeated_passages(frame(spark, rows)).collect()} == wanted
+
+
 def longest_common(x, y):
     row = [0] * (len(y) + 1)
     for word in x:
