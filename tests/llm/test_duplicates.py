@@ -246,6 +246,29 @@ def test_passage_of_frequent_lines(spark):
     assert {r["doc"] for r in repeated_passages(frame(spark, rows)).collect()} == wanted
 
 
+def test_large_fuzzy_group(spark):
+    """Each text that has a partner of similarity 0.8 by brute force is found in a crowd of edited copies."""
+    rng = random.Random(22)
+    base = words(rng, 100).split()
+    edited = [[rng.choice(VOCABULARY) if rng.random() < 0.08 else w for w in base] for _ in range(300)]
+    rows = [(i, f"{words(rng, 30)} {' '.join(e)} {words(rng, 30)}") for i, e in enumerate(edited)]
+    wanted = {i for i, e in enumerate(edited) if any(sum(u == v for u, v in zip(e, o)) >= 80 for o in edited if o is not e)}
+    got = {r["doc"]: r["class_id"] for r in repeated_passages(frame(spark, rows)).collect()}
+    assert wanted <= set(got) and {got[i] for i in wanted} == {0}
+
+
+def test_one_seed_is_enough(spark):
+    """A passage of 60 words whose only run of 16 equal words lies at its start, its end or in its middle."""
+    rng = random.Random(23)
+    rows = []
+    for case in range(45):
+        passage = words(rng, 60).split()
+        low = (0, 22, 44)[case % 3]
+        edited = [f"x{case}x{i}" if i % 5 == 2 and not low <= i < low + 16 else w for i, w in enumerate(passage)]
+        rows += [(2 * case, f"{words(rng, 40)} {' '.join(passage)} {words(rng, 40)}"), (2 * case + 1, f"{words(rng, 70)} {' '.join(edited)} {words(rng, 9)}")]
+    assert {r["doc"] for r in repeated_passages(frame(spark, rows)).collect()} == {d for d, _ in rows}
+
+
 def longest_common(x, y):
     row = [0] * (len(y) + 1)
     for word in x:
