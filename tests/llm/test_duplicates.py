@@ -269,6 +269,34 @@ def test_one_seed_is_enough(spark):
     assert {r["doc"] for r in repeated_passages(frame(spark, rows)).collect()} == {d for d, _ in rows}
 
 
+def test_passage_held_twice(spark):
+    """Both copies of a passage in one text are spans, and a cut or jumbled first copy doesn't hide the second."""
+    rng = random.Random(24)
+    one, two, three = (words(rng, 70) for _ in range(3))
+    lines = [two.split()[i : i + 10] for i in range(0, 70, 10)]
+    jumbled = " ".join(" ".join(lines[i]) for i in (6, 2, 4, 0, 5, 3, 1))
+    rows = [
+        (1, f"{words(rng, 20)} {one} {words(rng, 30)} {one} {words(rng, 20)}"),
+        (2, f"{words(rng, 15)} {one} {words(rng, 20)}"),
+        (3, f"{jumbled} {words(rng, 30)} {two} {words(rng, 20)}"),
+        (4, f"{words(rng, 15)} {two} {words(rng, 20)}"),
+        (5, f"{' '.join(three.split()[:35])} {words(rng, 30)} {three} {words(rng, 20)}"),
+        (6, f"{words(rng, 15)} {three} {words(rng, 20)}"),
+    ]
+    got = {r["doc"]: [tuple(s) for s in r["spans"]] for r in repeated_passages(frame(spark, rows)).collect()}
+    assert got == {1: [(20, 90), (120, 190)], 2: [(15, 85)], 3: [(100, 170)], 4: [(15, 85)], 5: [(65, 135)], 6: [(15, 85)]}
+
+
+def test_line_held_very_often(spark):
+    """The pairs of a line that two texts repeat grow with its occurrences, and the whole stretch is found."""
+    rng = random.Random(25)
+    line = words(rng, 12)
+    rows = [(1, f"{words(rng, 20)} {' '.join([line] * 400)}"), (2, " ".join([line] * 400))]
+    assert seed_pairs(spark.createDataFrame(rows, "digest long, text string")).count() < 4000
+    got = {r["doc"]: r["n_repeated"] for r in repeated_passages(frame(spark, rows)).collect()}
+    assert set(got) == {1, 2} and min(got.values()) >= 4750
+
+
 def longest_common(x, y):
     row = [0] * (len(y) + 1)
     for word in x:
