@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 from .components import connected_components
+from .near_copies import similar_links
 
 #: Distinct fingerprints of one key that are compared pair by pair.
 LIGHT = 64
@@ -112,18 +113,31 @@ def _ball_links(fps: DataFrame, max_bits: int) -> DataFrame:
 
 
 def near_components(
-    docs: DataFrame, shingle: int = 3, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text", light: int = LIGHT
+    docs: DataFrame,
+    shingle: int = 3,
+    max_bits: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    light: int = LIGHT,
+    similarity: float | None = None,
 ) -> DataFrame:
     """(doc, digest, fp, root, component) per row: component is the least id reachable over links, itself included.
 
-    Links join fingerprints at ``max_bits`` or fewer differing bits. Null and
+    Links join fingerprints at ``max_bits`` or fewer differing bits and, given a
+    ``similarity``, texts whose sets of shingles are at least as similar. Null and
     empty texts have fingerprint 0 and are linked like any other. A null id is
     passed over when the least id is sought; a component of null ids alone has
     a null id; ``root`` tells such components apart. Equal rows share everything. An empty table gives no rows.
     """
     prints = checkpointed(fingerprints(docs, shingle, id_col, text_col))
     nodes = prints.groupBy("fp").agg(F.min("doc").alias("least"))
-    roots = checkpointed(connected_components(near_links(nodes.select("fp"), max_bits, light)))
+    edges = near_links(nodes.select("fp"), max_bits, light)
+    if similarity is not None:
+        of_text = prints.select("digest", "fp").distinct()
+        similar = similar_links(docs, similarity, shingle, text_col)
+        similar = similar.join(of_text.toDF("a", "fp_a"), "a").join(of_text.toDF("b", "fp_b"), "b")
+        edges = edges.union(similar.select("fp_a", "fp_b").filter("fp_a <> fp_b"))
+    roots = checkpointed(connected_components(edges))
     linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
     heads = linked.groupBy("root").agg(F.min("least").alias("component"))
     placed = linked.join(heads, "root").select("fp", "root", "component")
@@ -134,13 +148,18 @@ def near_components(
 
 
 def keep_one(
-    docs: DataFrame, shingle: int = 5, max_bits: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    shingle: int = 5,
+    max_bits: int = 2,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    similarity: float | None = None,
 ) -> DataFrame:
     """One row of each component, with the columns of ``docs``: the least id, then the least hash of the text.
 
     Rows equal in id and text are one document. Null ids come last.
     """
-    found = near_components(docs, shingle, max_bits, id_col, text_col)
+    found = near_components(docs, shingle, max_bits, id_col, text_col, similarity=similarity)
     first = F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "digest")).alias("first")
     each = found.groupBy("root", "doc", "digest").agg(F.count(F.lit(1)).alias("n"))
     best = each.groupBy("root").agg(first, F.max("n").alias("n"))

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sealtable.llm import substring
 from sealtable.llm.components import connected_components
 from sealtable.llm.line_dedup import dedup_lines, line_drops
@@ -114,6 +115,26 @@ def test_keep_one(spark):
     assert keep_one(frame(spark, []).limit(0)).count() == 0
 
 
+def test_pipeline_drops_edited_copies(spark):
+    """The near-dedup stage against brute force at a shingle similarity of 0.8, with one- and few-word edits."""
+    rng = random.Random(31)
+    rows = []
+    for case in range(60):
+        base = words(rng, rng.choice([50, 100, 200, 500])).split()
+        rows.append((10 * case, " ".join(base)))
+        for k in range(1, 4):
+            edited = list(base)
+            for at in rng.sample(range(len(base)), k):
+                edited[at] = "edited"
+            rows.append((10 * case + k, " ".join(edited)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][0] // 10 == rows[j][0] // 10 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    of = roots(near)
+    wanted = sorted({rows[of.get(i, i)][0] for i in range(len(rows))})
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect())
+    assert got == wanted and len(wanted) < 100
+
+
 def slow_lines(rows, least=20, most=3):
     holders = defaultdict(set)
     key = lambda line: "".join(c.lower() if c.isascii() else c for c in line.strip(" \t\n\x0b\x0c\r"))
