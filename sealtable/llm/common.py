@@ -22,10 +22,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the session's ``spark.checkpoint.dir``, or, where that is unset (tests), a temporary one."""
+    """The checkpoint folder: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master, whose one machine runs all tasks, gets
+    a temporary folder; a cluster, which could not share one, gets an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sealtable-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -47,6 +53,26 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(folder)
 
 
+#: Keys that a join may treat as hot, and so the rows that it broadcasts, at most.
+HOT_KEYS = 10_000
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """``rows`` joined (inner) with ``side``, which has each ``key`` once and, in ``count``, its number of ``rows``.
+
+    A key with over 1 / ``HOT_KEYS`` of all rows would be one task's lot. Of
+    those there are fewer than ``HOT_KEYS``, so their part of ``side`` is
+    broadcast; the rest meets by a shuffle. Both sides are read twice, so they
+    should be cheap to read. ``count`` is not part of the result.
+    """
+    total = side.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_KEYS > total
+    # Fewer than HOT_KEYS rows, by the sum of their shares.
+    few, rest = F.broadcast(side.filter(hot).drop(count)), side.filter(~hot).drop(count)
+    cold = rows.join(F.broadcast(side.filter(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(cold.join(rest, key))
+
+
 def staged(column: Column) -> Column:
     """``column``, computed once where it stands.
 
@@ -94,13 +120,13 @@ def labelled_rows(
     chosen = (
         labels.select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("label"))
         .filter(F.col("_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("_id")))
+        .distinct()
         .orderBy(F.xxhash64("_id", F.lit("sample")), "_id", "label")
         .limit(max_rows)
     )
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     # Bounded by max_rows rows of two numbers, so this side may be sent to every executor.
-    return (
-        texts.join(F.broadcast(chosen), "_id")
-        .filter(F.col("text").isNotNull())
-        .select("_id", "text", "label")
-    )
+    met = texts.join(F.broadcast(chosen), "_id").filter(F.col("text").isNotNull())
+    # Map-side, equal rows of a task are one already, so a document held very often moves few texts.
+    digest = F.struct(F.xxhash64("text").alias("h"), "text")
+    return met.groupBy("_id", "label").agg(F.min(digest)["text"].alias("text")).select("_id", "text", "label")

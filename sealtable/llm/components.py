@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, join_hot
 
 #: Edges contracted in one task; union-find takes some 200 bytes for each.
 LOCAL_EDGES = 500_000
@@ -74,13 +74,14 @@ def _contracted(pairs: DataFrame, parts: int) -> DataFrame:
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is hung under the least node of its neighbourhood."""
     both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select("b", "a"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    hung = both.filter("v > u").join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    # A hub has very many neighbours.
+    hung = join_hot(both.filter("v > u"), least, "u")
     return hung.select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are hung under the least of them."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"))
-    hung = pairs.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    hung = join_hot(pairs, least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.union(least.select("a", F.col("m").alias("b"))).distinct()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, join_hot
 from .components import connected_components
 from .near_copies import similar_links
 
@@ -78,9 +78,10 @@ def near_links(fps: DataFrame, max_bits: int = 2, light: int = LIGHT) -> DataFra
     """Edges (a, b) that connect distinct fingerprints ``fp`` as all pairs within ``max_bits`` bits would."""
     if not 0 <= max_bits <= 2:
         raise ValueError("two halves with one wildcard each are meant for at most two differing bits")
-    # Each row becomes 64: so few bytes would else be put together into a few tasks beforehand.
+    # Each row becomes 64: so few bytes would else be put together into a few tasks beforehand. A key of
+    # its own keeps the exchange: one by fp that follows a grouping by fp would be taken out again.
     spread = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    halves = fps.repartition(spread, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
+    halves = fps.repartition(spread, F.xxhash64("fp", F.lit("spread"))).select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
     half = F.when(F.col("v") < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     wiped = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, v % 32)")))
     index = halves.select(F.expr("shiftleft(cast(v as bigint), 32)").bitwiseOR(wiped).alias("key"), "fp")
@@ -130,7 +131,7 @@ def near_components(
     a null id; ``root`` tells such components apart. Equal rows share everything. An empty table gives no rows.
     """
     prints = checkpointed(fingerprints(docs, shingle, id_col, text_col))
-    nodes = prints.groupBy("fp").agg(F.min("doc").alias("least"))
+    nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")))
     edges = near_links(nodes.select("fp"), max_bits, light)
     if similarity is not None:
         of_text = prints.select("digest", "fp").distinct()
@@ -138,13 +139,16 @@ def near_components(
         similar = similar.join(of_text.toDF("a", "fp_a"), "a").join(of_text.toDF("b", "fp_b"), "b")
         edges = edges.union(similar.select("fp_a", "fp_b").filter("fp_a <> fp_b"))
     roots = checkpointed(connected_components(edges))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least")
-    heads = linked.groupBy("root").agg(F.min("least").alias("component"))
-    placed = linked.join(heads, "root").select("fp", "root", "component")
-    of_print = nodes.join(placed, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component")
+    linked = checkpointed(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least"))
+    heads = linked.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n"))
+    # A component may hold very many fingerprints, and a fingerprint very many documents.
+    placed = join_hot(linked, heads, "root").select("fp", "root", "component")
+    of_print = checkpointed(
+        nodes.join(placed, "fp", "left").select(
+            "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component"), "n"
+        )
     )
-    return prints.join(of_print, "fp").select("doc", "digest", "fp", "root", "component")
+    return join_hot(prints, of_print, "fp").select("doc", "digest", "fp", "root", "component")
 
 
 def keep_one(
