@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from sealtable.llm import substring
 from sealtable.llm.components import connected_components
-from sealtable.llm.line_dedup import dedup_lines, line_drops
+from sealtable.llm.line_dedup import dedup_lines, kept_runs
 from sealtable.llm.simhash import keep_one, near_components, near_links, simhash64
 from sealtable.llm.substring import chains, passage_links, passages, repeated_passages, seed_pairs, seeds, word_hashes
 
@@ -160,14 +160,16 @@ def test_line_dedup(spark):
     twice = rows[:40] + rows[:10]
     got = dedup_lines(frame(spark, twice)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256)).collect()
     assert sorted(map(tuple, got)) == slow_lines(twice)
-    assert line_drops(frame(spark, []).limit(0)).count() == 0
+    assert kept_runs(frame(spark, []).limit(0)).count() == 0
     assert dedup_lines(frame(spark, [(1, "x")])).columns == ["doc_id", "text", "score", "digest", "root", "n_lines", "n_dropped"]
 
 
 def test_line_runs_are_compressed(spark):
-    rows = [(i, "\n".join(["the very same long line here"] * 50)) for i in range(4)]
-    runs = line_drops(frame(spark, rows)).select("doc", "runs").collect()
-    assert {r["doc"]: [tuple(x) for x in r["runs"]] for r in runs} == {i: [(0, 50)] for i in range(3)}
+    """Runs of kept lines: none at all, or what stands before, between and after the dropped ones."""
+    again = ["the very same long line here"] * 50
+    rows = [(i, "\n".join(again)) for i in range(4)] + [(-1, "\n".join(["a", "b", *again, "c", *again, "d"]))]
+    runs = kept_runs(frame(spark, rows)).select("doc", "runs").collect()
+    assert {r["doc"]: [tuple(x) for x in r["runs"]] for r in runs} == {i: [] for i in range(3)} | {-1: [(0, 2), (52, 1), (103, 1)]}
 
 
 def slow_chain_score(a, b):
