@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sealtable.llm import decontaminate
 from sealtable.llm import queries as registered
 from sealtable.llm.common import held_out, labelled_rows
 from sealtable.llm.decontaminate import contamination_report, drop_contaminated, find_items
@@ -21,6 +22,7 @@ from sealtable.llm.toxicity import fit_toxicity, hashed_terms, score_toxicity
 from sealtable.llm.url_filter import judge_urls, mine_rules
 
 SF = "/root/testdata/sf0.01"
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 ODD = [None, "", " ", "\n\n", "a", "É é ñ 漢字 😀", "x " * 20_000, "word\x0bword\x0cword\r\nword", "\u00a0 \u2028 x"]
 
 
@@ -85,23 +87,44 @@ def slow_items(text, bench):
     return len(words), len(hit), len(items), ",".join(sorted(items))
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 200])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize(("bits", "hot_keys"), [(23, 10_000), (8, 10_000), (23, 0)])
+def test_decontamination(spark, monkeypatch, bits, hot_keys):
+    """Also with a filter that lets nearly every token through, and where no token counts as hot."""
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+    monkeypatch.setattr(decontaminate, "HOT_KEYS", hot_keys)
     rng = random.Random(3)
     vocabulary = [f"v{i}" for i in range(60)] + ["the", "É"]
     some = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     bench = [(i, some(rng.randrange(8, 25))) for i in range(15)] + [(20, "tiny item"), (21, None), (22, ""), (3, some(12)), (23, "v1"), (10, "The v2, v3!")]
     texts = ODD + [f"{some(30)} {(rng.choice(bench)[1] or '').upper()}, {some(20)} {rng.choice(bench)[1]}" for _ in range(40)] + [bench[0][1]] * 3 + ["tiny item item tiny"]
     docs, table = frame(spark, texts), spark.createDataFrame(bench, "item_id long, text string")
-    found = find_items(docs, table, block_bytes=block_bytes)
+    found = find_items(docs, table)
     got = {r["doc"]: (r["n_words"], sum(x["length"] for x in r["runs"]), len(r["items"]), ",".join(sorted(r["items"]))) for r in found.collect()}
     expected = {i: slow_items(t, bench) for i, t in enumerate(texts)}
     assert got == expected
-    kept = drop_contaminated(docs, table, min_items=2, block_bytes=block_bytes)
+    kept = drop_contaminated(docs, table, min_items=2)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, e in expected.items() if e[2] < 2}
 
 
+def test_decontamination_null_items(spark):
+    """Rows without an id are one item, apart from one named null."""
+    passage = "one two three four five six seven eight nine"
+    table = spark.createDataFrame([(None, passage), ("null", passage), (None, "ten eleven twelve"), ("a", "ten eleven twelve")], "item_id string, text string")
+    got = {r["doc"]: r["items"] for r in find_items(frame(spark, [passage, "x ten eleven twelve y", "nine ten"]), table).collect()}
+    assert {k: sorted(map(str, v)) for k, v in got.items()} == {0: ["None", "null"], 1: ["None", "a"], 2: []} and got[0].count(None) == 1
+
+
+def test_decontamination_broadcasts_no_benchmark(spark):
+    """A benchmark much larger than the filter: one pass for rarity, and joins that exchange both sides."""
+    rng = random.Random(17)
+    bench = [(i, " ".join(rng.choice(LETTERS) + str(rng.randrange(3000)) for _ in range(40))) for i in range(3000)]
+    docs = frame(spark, [f"before {bench[i][1]} after" for i in range(0, 3000, 100)])
+    found = find_items(docs, spark.createDataFrame(bench, "item_id long, text string"))
+    got = {r["doc"]: r["items"] for r in found.collect()}
+    assert got == {k: [str(100 * k)] for k in range(30)}
+
+
 def test_decontamination_of_nothing(spark):
     docs, none = frame(spark, ["some words", None]), spark.createDataFrame([], "item_id long, text string")
     assert [r["n_items"] for r in contamination_report(docs, none).collect()] == [0, 0]
