@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, stored
-from .substring import SEED, meetings
+from .substring import ORDER, SEED, meetings
 
 BANDS, ROWS = 16, 4
 #: Shingles hashed under all orders at once, which bounds memory for long texts.
@@ -70,8 +70,8 @@ def similar_links(docs: DataFrame, similarity: float, shingle: int = 5, text_col
             keys = np.concatenate(found)
             after, before = np.roll(keys, -1, axis=1), np.roll(keys, 1, axis=1)
             texts, spots = np.repeat(np.array(owner, np.int64), BANDS), np.tile(np.arange(BANDS, dtype=np.int32), len(owner))
-            columns = [keys.ravel(), after.ravel(), texts, spots, before.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "after", "text", "spot", "before"])
+            columns = [keys.ravel(), after.ravel(), before.ravel(), texts, spots]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=ORDER)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +87,8 @@ def similar_links(docs: DataFrame, similarity: float, shingle: int = 5, text_col
                 kept.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    pairs = checkpointed(meetings(stored(rows.mapInArrow(signed, SEED)), False).select("a", "b").distinct())
+    signatures = stored(rows.mapInArrow(signed, SEED))
+    pairs = checkpointed(meetings(signatures.repartitionByRange(*ORDER), False).select("a", "b").distinct())
     asked = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     # Of the copies of a text one is compared.
     shingles = checkpointed(rows.join(asked.hint("shuffle_hash"), "digest", "left_semi").mapInArrow(sets, "digest bigint, shingles binary").dropDuplicates(["digest"]))
