@@ -3,8 +3,11 @@
 Terms are words and word beginnings, hashed. Besides a weight per term the
 machine learns a short vector per term, and the product of two vectors is the
 weight of the pair: an insult beside a mention of a group can weigh more than
-both alone. Fitting takes a bounded sample of labelled rows, reduced to hashed
-terms on the executors; scoring is one pass without a shuffle.
+both alone. Terms of the machine are those that the label goes with, be it
+alone or only beside another term: a word that is as frequent in clean texts
+counts if some pair it is in does not. Fitting takes a bounded sample of
+labelled rows, reduced to hashed terms on the executors; scoring is one pass
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -27,8 +31,12 @@ MAX_ROWS, MAX_BYTES = 12_000, 1 << 16
 HASH_BITS, RANK = 20, 6
 #: Bytes of the word beginnings that are terms too: inflected forms share them.
 PREFIXES = (4, 6)
-#: Documents a term must be in, its least standard score against the label, and the most terms kept.
-MIN_DOCS, MIN_Z, MAX_TERMS = 5, 4.0, 4096
+#: Labelled documents a term must be in, and the least standard score of its own association with the label.
+MIN_DOCS, MIN_Z = 5, 4.0
+#: How many terms, the most frequent, are tried in pairs, and the chance that any pair is kept that means nothing.
+PAIRED, MISTAKE = 2048, 0.01
+#: Least steps of a fit.
+STEPS = 600
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -64,6 +72,50 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(self.margin(hashed_terms(text)), -30, 30))))
 
 
+def _alone(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The buckets associated with the label by themselves."""
+    n, n1 = len(y), float(y.sum())
+    hits = np.bincount(np.concatenate([r for r, label in zip(rows, y) if label] or [[]]).astype(int), minlength=1 << HASH_BITS)
+    seen = np.bincount(np.concatenate(rows).astype(int), minlength=1 << HASH_BITS)
+    share = seen / n
+    z = np.abs(hits - n1 * share) / np.sqrt(n1 * (n - n1) / n * share * (1 - share) + 1e-9)
+    return np.flatnonzero((seen >= MIN_DOCS) & (z >= MIN_Z))
+
+
+def _paired(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The buckets of pairs whose log-odds differ from the sum of their terms' own, among the ``PAIRED`` most frequent."""
+    seen = np.bincount(np.concatenate(rows).astype(int), minlength=1 << HASH_BITS)
+    terms = np.argsort(-seen, kind="stable")[:PAIRED]
+    terms = terms[seen[terms] >= MIN_DOCS]
+    place = np.full(1 << HASH_BITS, -1)
+    place[terms] = np.arange(len(terms))
+    # Rows, and rows of label 1, that hold both terms.
+    both, both1 = (np.zeros((len(terms), len(terms)), np.float32) for _ in range(2))
+    for start in range(0, len(rows), 1024):
+        held = np.zeros((len(rows[start : start + 1024]), len(terms)), np.float32)
+        for i, row in enumerate(rows[start : start + 1024]):
+            at = place[row]
+            held[i, at[at >= 0]] = 1
+        both += held.T @ held
+        held = held[y[start : start + 1024] > 0]
+        both1 += held.T @ held
+    n, n1 = np.float32(len(y)), np.float32(y.sum())
+    one, one1 = np.diag(both)[:, None], np.diag(both1)[:, None]
+    # With both, with either alone and with neither: how the log-odds depart from a sum.
+    cells = [(both, both1, 1), (one - both, one1 - both1, -1), (one.T - both, one1.T - both1, -1)]
+    cells.append((n - one - one.T + both, n1 - one1 - one1.T + both1, 1))
+    departure, variance, least = np.zeros_like(both), np.zeros_like(both), np.full_like(both, np.inf)
+    for of, of1, sign in cells:
+        departure += sign * np.log((of1 + 0.5) / (of - of1 + 0.5))
+        variance += 1 / (of1 + 0.5) + 1 / (of - of1 + 0.5)
+        least = np.minimum(least, of)
+    # The more pairs are tried, the surer one must be.
+    score = NormalDist().inv_cdf(1 - MISTAKE / max(1, len(terms) * (len(terms) - 1)))
+    found = (np.abs(departure) >= score * np.sqrt(variance)) & (least >= MIN_DOCS)
+    np.fill_diagonal(found, False)
+    return terms[found.any(axis=1)]
+
+
 def _train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 20, batch: int = 128, rate: float = 0.1, ridge: float = 3e-4) -> FactorizationMachine:
     n, n1 = len(y), float(y.sum())
     n0 = n - n1
@@ -71,12 +123,7 @@ def _train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 20, batch: int =
     nothing = FactorizationMachine(np.zeros(0, np.int32), bias, np.zeros(0), np.zeros((0, RANK)))
     if not n1 or not n0:
         return nothing
-    hits = np.bincount(np.concatenate([r for r, label in zip(rows, y) if label] or [[]]).astype(int), minlength=1 << HASH_BITS)
-    seen = np.bincount(np.concatenate(rows).astype(int), minlength=1 << HASH_BITS)
-    share = seen / n
-    z = np.abs(hits - n1 * share) / np.sqrt(n1 * n0 / n * share * (1 - share) + 1e-9)
-    z[(seen < MIN_DOCS) | (z < MIN_Z)] = 0
-    terms = np.sort(np.argsort(-z, kind="stable")[: min(MAX_TERMS, int((z > 0).sum()))]).astype(np.int32)
+    terms = np.union1d(_alone(rows, y), _paired(rows, y)).astype(np.int32)
     if not len(terms):
         return nothing
     place = np.full(1 << HASH_BITS, -1)
@@ -87,7 +134,8 @@ def _train(rows: list[np.ndarray], y: np.ndarray, epochs: int = 20, batch: int =
     linear, vectors = np.zeros(len(terms)), random.normal(0, 0.02, (len(terms), RANK))
     g_bias, g_linear, g_vectors = 1e-6, np.full(len(terms), 1e-6), np.full((len(terms), RANK), 1e-6)
     order = np.arange(n)
-    for _ in range(epochs):
+    # A small sample is gone through more often: what a pair does is learnt after what its terms do.
+    for _ in range(max(epochs, STEPS * batch // n)):
         random.shuffle(order)
         for start in range(0, n, batch):
             ids = order[start : start + batch]
