@@ -1,11 +1,12 @@
 """Quality by compression: which of two dictionaries makes a text smaller?
 
 One zstandard dictionary is built from good and one from bad labelled texts. A
-text is compressed with each. The difference of the two sizes, normalised by
-the sizes and by the text's length, becomes a probability by a logistic
-calibration fitted on labelled texts that the dictionaries have not seen.
-Fitting takes a bounded sample; scoring is one pass without a shuffle, with a
-broadcast of two dictionaries of a fixed size.
+text is compressed with each, and without any. The differences between these
+three sizes, normalised by their sums and by the text's length, become a
+probability by a logistic calibration. It is fitted on sizes that are fair: the
+sample is cut into folds, and each is compressed with dictionaries built from
+the others. Fitting takes a bounded sample; scoring is one pass without a
+shuffle, with a broadcast of two dictionaries of a fixed size.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import labelled_rows
 MAX_ROWS, MAX_BYTES = 6000, 1 << 16
 #: Bytes of a dictionary, compression level, bytes of a training piece.
 DICT_BYTES, LEVEL, PIECE = 112_640, 3, 4096
+#: Parts of the sample that are left out in turn for the calibration.
+FOLDS = 3
 #: A text is good if its score reaches this.
 THRESHOLD = 0.3
 
@@ -39,22 +42,25 @@ def _dictionary(texts: Sequence[bytes]) -> bytes:
 
 
 class _Sizes:
-    """Compressed sizes with either dictionary."""
+    """Compressed sizes with either dictionary and without."""
 
     def __init__(self, good: bytes, bad: bytes):
-        self._tools = []
+        self._tools = [zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)]
         for content in (good, bad):
             kind = zstandard.DICT_TYPE_AUTO if len(content) >= 8 else zstandard.DICT_TYPE_RAWCONTENT
             known = zstandard.ZstdCompressionDict(content, dict_type=kind)
             if len(content) >= 8:
                 known.precompute_compress(level=LEVEL)
-            self._tools.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False))
+            self._tools.append(
+                zstandard.ZstdCompressor(level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)
+            )
 
-    def features(self, texts: Sequence[bytes]) -> np.ndarray:
-        good, bad = (np.fromiter((len(tool.compress(t)) for t in texts), float, len(texts)) for tool in self._tools)
+    def differences(self, texts: Sequence[bytes]) -> np.ndarray:
+        """Of each two of the sizes, their difference by their sum and by the text's length."""
+        plain, good, bad = (np.fromiter((len(tool.compress(t)) for t in texts), float, len(texts)) for tool in self._tools)
         length = np.fromiter(map(len, texts), float, len(texts)) + 1.0
-        columns = [(bad - good) / (bad + good), (bad - good) / length, good / length, np.log(length)]
-        return np.column_stack(columns)
+        pairs = ((bad, good), (plain, good), (plain, bad))
+        return np.column_stack([(x - y) / by for x, y in pairs for by in (x + y, length)])
 
 
 @dataclass(frozen=True)
@@ -71,13 +77,13 @@ class CompressionModel:
     def score(self, texts: Sequence[bytes]) -> np.ndarray:
         if not len(self.weights) or not texts:
             return np.full(len(texts), self.prior)
-        raw = _Sizes(self.good, self.bad).features(texts)
+        raw = _Sizes(self.good, self.bad).differences(texts)
         return 1 / (1 + np.exp(-np.clip(_terms(raw, self.mean, self.scale) @ self.weights, -30, 30)))
 
 
 def _terms(raw: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.clip((raw - mean) / scale, -8, 8)
-    return np.column_stack([np.ones(len(z)), z, z * z])
+    z = np.clip((raw - mean) / scale, -6, 6)
+    return np.column_stack([np.ones(len(z)), z, z**2, z**3])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
@@ -111,17 +117,24 @@ def fit_compression(
     rows = rows.sort_values(["_id", "label", "text"]).sample(frac=1, random_state=7)
     texts, y = [t.encode() for t in rows["text"]], (rows["label"].to_numpy() > 0).astype(float)
     prior = float((y.sum() + 1) / (len(y) + 2))
-    half = np.arange(len(y)) % 2 == 0
-    if min(y[half].sum(), (1 - y[half]).sum(), y[~half].sum(), (1 - y[~half]).sum()) < 1:
+    folds = min(FOLDS, int(min(y.sum(), (1 - y).sum())))
+    if folds < 2:
         empty = np.zeros(0)
         return CompressionModel(b"", b"", empty, empty, empty, prior)
-    good = _dictionary([t for t, first, label in zip(texts, half, y) if first and label])
-    bad = _dictionary([t for t, first, label in zip(texts, half, y) if first and not label])
-    rest = [t for t, first in zip(texts, half) if not first]
-    raw = _Sizes(good, bad).features(rest)
+    # Each class is dealt evenly, so none lacks where a fold is left out.
+    fold = np.where(y > 0, np.cumsum(y > 0), np.cumsum(y == 0)) % folds
+
+    def dictionaries(left_out: int) -> tuple[bytes, bytes]:
+        good, bad = ([t for t, k, own in zip(texts, fold, y) if k != left_out and own == kind] for kind in (1, 0))
+        return _dictionary(good), _dictionary(bad)
+
+    raw = np.zeros((len(texts), 6))
+    for k in range(folds):
+        at = np.flatnonzero(fold == k)
+        raw[at] = _Sizes(*dictionaries(k)).differences([texts[i] for i in at])
     mean, scale = raw.mean(axis=0), raw.std(axis=0) + 1e-9
-    weights = _logistic(_terms(raw, mean, scale), y[~half])
-    return CompressionModel(good, bad, mean, scale, weights, prior)
+    weights = _logistic(_terms(raw, mean, scale), y)
+    return CompressionModel(*dictionaries(-1), mean, scale, weights, prior)
 
 
 def score_quality(docs: DataFrame, model: CompressionModel, text_col: str = "text", out_col: str = "score") -> DataFrame:
