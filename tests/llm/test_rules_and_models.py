@@ -2,12 +2,15 @@
 
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from sealtable.llm import decontaminate
@@ -144,6 +147,55 @@ def test_held_out_labels_are_not_read(spark, corpus):
     assert all(r["h"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in marked)
 
 
+def test_training_rows_are_bounded(spark):
+    """Also where one id is there very often, with texts that differ or not."""
+    docs = spark.createDataFrame([(1, "same")] * 500 + [(1, f"text {i}") for i in range(100)] + [(i, "x") for i in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)] * 3 + [(1, 0)], "doc_id long, quality int")
+    for most in (1, 5, 100):
+        rows = labelled_rows(docs, labels, "quality", most).collect()
+        assert len(rows) <= most and len({(r["_id"], r["label"]) for r in rows}) == len(rows)
+
+
+def test_compression_scores(spark, corpus):
+    """A score is the calibrated differences of the three compressed sizes, and of nothing else."""
+    docs, labels = corpus
+    model = fit_compression(docs, labels, max_rows=300)
+    for r in score_quality(docs.limit(50).unionByName(frame(spark, ODD).selectExpr("doc_id", "text", "'' as lang", "'' as source", "0L as n_chars")), model).collect():
+        data = (r["text"] or "").encode()
+        tools = [{}] + [{"dict_data": zstandard.ZstdCompressionDict(d)} for d in (model.good, model.bad)]
+        plain, good, bad = (len(zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False, **t).compress(data)) for t in tools)
+        raw = np.array([(a - b) / by for a, b in ((bad, good), (plain, good), (plain, bad)) for by in (a + b, len(data) + 1)])
+        z = np.clip((raw - model.mean) / model.scale, -6, 6)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-model.weights @ [1, *z, *z**2, *z**3])), abs=0.02)
+
+
+def test_toxicity_scores(spark, corpus):
+    """The machine's formula, pair by pair."""
+    docs, labels = corpus
+    machine = fit_toxicity(docs, labels)
+    place = {int(t): i for i, t in enumerate(machine.terms)}
+    for r in score_toxicity(docs.limit(60), machine).collect():
+        at = [place[t] for t in hashed_terms(r["text"]).tolist() if t in place]
+        margin = machine.bias + sum(machine.linear[i] for i in at) + sum(float(machine.vectors[i] @ machine.vectors[j]) for i, j in combinations(at, 2))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
+
+
+@pytest.mark.parametrize("n", [400, 1500])
+def test_terms_that_count_in_pairs_alone(n):
+    """Exactly one of two words is toxic; neither goes with the label by itself."""
+    from sealtable.llm.toxicity import _train
+
+    rng = random.Random(n)
+    rows, labels = [], []
+    for _ in range(n):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        filler = [rng.choice(["tree", "house", "road", "lake", "hill", "field"]) + rng.choice(LETTERS) for _ in range(8)]
+        rows.append(hashed_terms(" ".join(filler + ["dolt"] * one + ["guild"] * two)))
+        labels.append(float(one != two))
+    machine, rest = _train(rows[: n // 2], np.array(labels[: n // 2])), range(n // 2, n)
+    assert np.mean([(machine.margin(rows[i]) > 0) == (labels[i] > 0) for i in rest]) > 0.97
+
+
 @pytest.mark.parametrize(("query", "label", "least"), [("op4_toxicity", "toxic", 0.93), ("op10_quality_classifier", "quality", 0.93)])
 def test_held_out_accuracy(spark, corpus, query, label, least):
     scored = registered.queries()[query](spark, SF)
@@ -291,6 +343,43 @@ def slow_rules(rows, support, confidence, most):
     return {(c, v): x for (c, v), x in sure.items() if not any((p, v) in sure and sure[p, v][1] >= x[1] for p in parts(c))}
 
 
+def slow_tokens(url):
+    host, path, *_ = slow_url(url)
+    query = re.search(r"\?([^#]*)", url or "")
+    keys = [re.sub("=.*", "", k, flags=re.S) for k in (query[1] if query else "").split("&")]
+    parts = [("h:", re.split(r"[.\-]", host)), ("p:", re.split(r"[/.]", path)), ("q:", keys)]
+    return tuple(sorted({mark + re.sub("[0-9]+", "#", x) for mark, found in parts for x in found if x}))
+
+
+def test_mined_verdicts(spark):
+    """The verdict of every URL that no hand-written rule fits, from rules mined by brute force."""
+    rng = random.Random(40)
+    sites = ["shop.example.com", "www.example.com", "a.net", "news.org", "x-y.org", "blog.b.net", "b.com"]
+    urls = URLS + [f"http://{rng.choice(sites)}/{rng.choice(['en', 'es', 'fr', 'de'])}/{rng.choice(['news', 'shop', 'ads'])}/{rng.randrange(99)}?{rng.choice(['id', 'ref'])}=1" for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r["page"]: r["verdict"] for r in judge_urls(pages).collect()}
+    labelled = [(slow_tokens(u), slow_url(u)[3]) for u in urls if slow_url(u)[3]]
+    single = Counter(t for tokens, _ in labelled for t in tokens)
+    rules = slow_rules(labelled, 0.01, 0.8, 3)
+    assert rules and single
+    for i, u in enumerate(urls):
+        tokens = set(slow_tokens(u))
+        fired = [(confidence, support, len(combo), verdict, combo) for (combo, verdict), (support, confidence) in rules.items() if tokens >= set(combo)]
+        assert got[i] == (slow_url(u)[3] or (max(fired)[3] if fired else "allow")), u
+    assert len({got[i] for i, u in enumerate(urls) if not slow_url(u)[3]}) == 2
+
+
+def test_long_urls(spark):
+    """A URL of 200 frequent tokens, and many whose frequent tokens differ in one each, are no more work than their length."""
+    long = "http://www.example.com/en/" + "/".join(f"{a}{b}" for a in LETTERS for b in "abcdefgh")
+    urls = [f"http://a.net/es/{i % 7}" for i in range(300)] + [long] * 10 + [long.replace(f"/{LETTERS[i]}a/", "/") for i in range(26)] * 2 + ["http://other.org/" + "ab/" * 3]
+    rows = judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(rows) == len(urls) and {r["verdict"] for r in rows} == {"allow", "block"}
+    labelled = [(slow_tokens(u), "allow" if "www" in u else "block") for u in urls[:310]]
+    found = mine_rules(spark.createDataFrame(labelled, "tokens array<string>, verdict string"), max_basket=3)
+    assert {tuple(r["rule_tokens"]) for r in found.collect()} == {(t,) for t in set(labelled[0][0]) ^ set(labelled[-1][0])}
+
+
 def test_mined_rules(spark):
     rng = random.Random(6)
     rows = []
@@ -305,11 +394,17 @@ def test_mined_rules(spark):
 
 
 def test_native_queries_use_no_python(spark):
-    for name in ("op2_line_dedup", "op7_url_filters", "op8_sharding"):
+    for name in ("op2_line_dedup", "op6_mixing", "op7_url_filters", "op8_sharding"):
         plan = registered.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
         assert "Python" not in plan and "Arrow" not in plan, name
 
 
+def slow_shard(key, shards):
+    """The shard of the least draw: a 53-bit hash of the key and then the shard."""
+    seed = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+    return min(range(shards), key=lambda s: (xxhash.xxh64_intdigest(struct.pack("<i", s), seed) >> 11, s))
+
+
 def test_sharding(spark):
     texts = ODD + ["same"] * 50 + [f"text {i}" for i in range(2000)]
     docs = frame(spark, texts)
@@ -326,6 +421,7 @@ def test_sharding(spark):
         if r["doc_id"] is not None:
             data = (texts[r["doc_id"]] or "").encode()
             assert (r["size"], r["text_crc32"]) == (len(data) + 1, zlib.crc32(data))
+            assert (r["shard"], r["grown_shard"]) == (slow_shard(r["doc_id"], 16), slow_shard(r["doc_id"], 17))
     assert shard_manifest(docs.limit(0), 16).count() == 0
     again = {r["doc_id"]: r["shard"] for r in assign_shards(docs, 16).collect()}
     assert all(again[r["doc_id"]] == r["shard"] for r in rows if r["doc_id"] is not None)
