@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealtable.errors import TableError
+from sealtable.errors import DuplicateError
 from sealtable.functions.canonical import calculate_row_hash, row_hash
 from sealtable.operators import integrity
-from sealtable.operators.rows import count_matching, delete_rows, select_rows, update_rows, with_ids
-from sealtable.sources.catalog import Catalog, now
+from sealtable.operators.rows import delete_rows, select_rows, update_rows, with_ids
+from sealtable.sources.catalog import WRITING, Catalog, now
 from sealtable.types import EXTRA, HASH, ID, SEQ, checked, table_schema
 
 
+#: Rows that a report on hashes lists on the driver, unless told otherwise.
+LISTED = 10_000
+
+
 class Database:
     """Reads are lazy DataFrames; ``select`` and its kin return Python rows, as small lookups want.
 
@@ -35,9 +39,15 @@ class Database:
         return self.catalog.state["tables"]
 
     def create_table(self, name: str, schema: Mapping[str, Any], enable_hash_index: bool = False) -> dict[str, Any]:
-        if name in self.tables:
-            raise TableError(f"Table {name} already exists")
         state = self.catalog.draft()
+        self.stage_table(state, name, schema, enable_hash_index)
+        self.catalog.commit(state)
+        return self.tables[name]
+
+    @staticmethod
+    def stage_table(state: dict[str, Any], name: str, schema: Mapping[str, Any], enable_hash_index: bool = False) -> None:
+        if name in state["tables"]:
+            raise DuplicateError(f"Table {name} already exists")
         state["tables"][name] = {
             "schema": table_schema(schema).jsonValue(),
             "columns": list(schema),
@@ -47,8 +57,6 @@ class Database:
             "enable_hash_index": enable_hash_index,
             "created_at": now(),
         }
-        self.catalog.commit(state)
-        return self.tables[name]
 
     def drop_table(self, name: str) -> None:
         state = self.catalog.draft()
@@ -100,7 +108,7 @@ class Database:
             row[SEQ] = table["next_seq"]
             table["next_seq"] += 1
             stored.append(tuple(row.get(f.name) for f in schema.fields))
-            ids.append(table["auto_increment"])
+            ids.append(row[ID])
         added = self.spark.createDataFrame(stored, schema).withColumn(HASH, row_hash(schema))
         return added.select(*schema.names), ids
 
@@ -158,13 +166,19 @@ class Database:
         return count
 
     def stage_update(self, state, name, conditions, updates, operators: bool = False) -> int:
+        return self._rewrite(state, name, conditions, operators, lambda table, rows: self.updated_rows(table, rows, conditions, updates, operators))
+
+    def _rewrite(self, state, name, conditions, operators: bool, change) -> int:
+        """Change the segments that hold rows which meet the conditions, and no others: the number of those rows."""
         table = self.catalog.table(name, state)
-        rows = self.catalog.read(table)
-        changed = self.updated_rows(table, rows, conditions, updates, operators)
-        count = count_matching(rows, conditions, operators=operators).first()["n"]
-        if count:
-            table["segments"] = [self.catalog.write_segment(name, table, changed)]
-        return count
+        # Names and values are checked also where no row is met.
+        change(table, self.catalog.read(table))
+        counts = self.catalog.matching(table, conditions, operators)
+        hit = [s for s in table["segments"] if s in counts]
+        if hit:
+            rows = change(table, self.catalog.read({**table, "segments": hit}))
+            table["segments"] = [s for s in table["segments"] if s not in counts] + [self.catalog.write_segment(name, table, rows)]
+        return sum(counts.values())
 
     @staticmethod
     def updated_rows(table, rows: DataFrame, conditions, updates, operators: bool = False) -> DataFrame:
@@ -182,12 +196,7 @@ class Database:
         return count
 
     def stage_delete(self, state, name, conditions, operators: bool = False) -> int:
-        table = self.catalog.table(name, state)
-        rows = self.catalog.read(table)
-        count = count_matching(rows, conditions, operators=operators).first()["n"]
-        if count:
-            table["segments"] = [self.catalog.write_segment(name, table, delete_rows(rows, conditions, operators))]
-        return count
+        return self._rewrite(state, name, conditions, operators, lambda _, rows: delete_rows(rows, conditions, operators))
 
     # Reading
 
@@ -236,19 +245,31 @@ class Database:
             raise ValueError(f"Table {name} does not exist")
         return self.frame(name)
 
-    def verify_hash_integrity(self, name: str) -> dict[str, Any]:
-        """Counts, and the corrupted rows; the latter are read only if there are any."""
+    def verify_hash_integrity(self, name: str, listed: int | None = LISTED) -> dict[str, Any]:
+        """Counts, and the first ``listed`` corrupted rows by id (None: all); :meth:`corrupted_rows` is the DataFrame of all."""
         rows = self._known(name)
         summary = integrity.verify_summary(rows).first().asDict()
-        bad = [r.asDict() for r in integrity.corrupted_rows(rows).toLocalIterator()] if summary["invalid_hashes"] else []
+        bad: list[dict[str, Any]] = []
+        if summary["invalid_hashes"]:
+            found = self.corrupted_rows(name).orderBy(ID)
+            bad = [r.asDict() for r in (found if listed is None else found.limit(listed)).toLocalIterator()]
         return {**summary, "corrupted_rows": bad, "verified_at": now()}
 
-    def get_hash_statistics(self, name: str) -> dict[str, Any]:
+    def corrupted_rows(self, name: str) -> DataFrame:
+        return integrity.corrupted_rows(self._known(name))
+
+    def get_hash_statistics(self, name: str, listed: int | None = LISTED) -> dict[str, Any]:
+        """Counts, and of the first ``listed`` repeated hashes (None: all) as many ids; :meth:`duplicate_counts` is the DataFrame of all."""
         rows = self._known(name)
         stats = integrity.hash_statistics(rows).first().asDict()
-        groups = integrity.duplicate_hashes(rows).toLocalIterator() if stats["duplicate_hash_count"] else ()
+        groups = ()
+        if stats["duplicate_hash_count"]:
+            groups = integrity.duplicate_hashes(rows, listed).toLocalIterator()
         return {**stats, "duplicate_hashes": {r[HASH]: r["ids"] for r in groups}}
 
+    def duplicate_counts(self, name: str) -> DataFrame:
+        return integrity.duplicate_counts(self._known(name))
+
     def repair_hash_index(self, name: str, recompute: bool = False) -> dict[str, int]:
         """Fill in missing hashes (or make all anew) and rewrite the table."""
         self._known(name)
@@ -270,15 +291,18 @@ class Database:
 
     # Upkeep
 
-    def vacuum(self) -> dict[str, int]:
-        """Put each table's segments into one sorted by insertion, and delete what no table needs any more."""
+    def vacuum(self, writing: float = WRITING) -> dict[str, int]:
+        """Put each table's segments into one sorted by insertion, and delete what no table needs any more.
+
+        Folders that a writer may be at, those changed less than ``writing`` seconds ago, stay.
+        """
         state = self.catalog.draft()
         for name, table in state["tables"].items():
             if len(table["segments"]) > 1:
                 rows = self.catalog.read(table)
                 table["segments"] = [self.catalog.write_segment(name, table, rows.repartitionByRange(SEQ).sortWithinPartitions(SEQ))]
         self.catalog.commit(state)
-        return {"deleted_folders": self.catalog.vacuum()}
+        return {"deleted_folders": self.catalog.vacuum(writing)}
 
     def close(self) -> None:
         """Nothing is held open: every commit is complete when it returns."""

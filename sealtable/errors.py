@@ -13,6 +13,14 @@ class TableError(SealError):
     """A table is missing, or there already."""
 
 
+class NotFoundError(TableError):
+    """There is no table of this name."""
+
+
+class DuplicateError(TableError):
+    """There is a table of this name already."""
+
+
 class IndexFailure(SealError):
     """A secondary index is missing, there already, or on no column."""
 

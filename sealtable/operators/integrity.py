@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,15 +61,21 @@ def corrupted_rows(rows: DataFrame) -> DataFrame:
     return checked.filter(~F.col("stored_hash").eqNullSafe(F.col("computed_hash")))
 
 
-def duplicate_hashes(rows: DataFrame) -> DataFrame:
+def duplicate_hashes(rows: DataFrame, most: int | None = None) -> DataFrame:
     """(hash, n, ids) of hashes that several rows share; empty and missing hashes are passed over.
 
     Counting comes first, so only ids of duplicates are gathered, never those of
-    all rows. A hash's ids are one list, as long as its group of equal rows:
-    where that may be unbounded, :func:`duplicate_counts` leaves the list out.
+    all rows. With ``most`` it is a report: the first hashes, and the least ids of
+    each, that many at most. Without, a hash's ids are one list, as long as its
+    group; :func:`duplicate_counts` has no lists.
     """
     twice = duplicate_counts(rows).select(HASH, "n")
-    return rows.join(twice, HASH).groupBy(HASH, "n").agg(F.array_sort(F.collect_list(ID)).alias("ids"))
+    if most is None:
+        return rows.join(twice, HASH).groupBy(HASH, "n").agg(F.array_sort(F.collect_list(ID)).alias("ids"))
+    found = rows.select(HASH, ID).join(F.broadcast(twice.orderBy(HASH).limit(most)), HASH)
+    # A running top of the group, which Spark keeps in bounded partial results before the shuffle.
+    ranked = found.withColumn("__at", F.row_number().over(Window.partitionBy(HASH).orderBy(ID))).filter(F.col("__at") <= most)
+    return ranked.groupBy(HASH, "n").agg(F.array_sort(F.collect_list(ID)).alias("ids"))
 
 
 def duplicate_counts(rows: DataFrame) -> DataFrame:

@@ -21,6 +21,9 @@ def backup(db: Database, path: str) -> dict[str, Any]:
     for table in db.tables.values():
         for segment in table["segments"]:
             source.copy(source.at(segment), target.at(segment))
+    for entry in db.catalog.state["history"]:
+        if source.exists(source.at("transactions", f"{entry['id']}.json")):
+            source.copy(source.at("transactions", f"{entry['id']}.json"), target.at("transactions", f"{entry['id']}.json"))
     name = f"{db.catalog.state['version']:012d}.json"
     source.copy(source.at("manifests", name), target.at("manifests", name))
     return {"backup_path": path, "timestamp": now(), "size": target.size(target.root)}

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from sealtable.cli import main, run
 from sealtable.database import Database
-from sealtable.errors import ConflictError, DatabaseError, IndexFailure, TableError, TransactionError
+from sealtable.errors import ConflictError, CorruptedError, DatabaseError, DuplicateError, IndexFailure, NotFoundError, TableError, TransactionError
 from sealtable.functions.canonical import calculate_row_hash
 from sealtable.managers import HashManager, IndexManager
-from sealtable.sources import admin, jsonio
+from sealtable.sources import admin, files, jsonio
 from sealtable.streaming.ingest import append_stream, duplicate_stream
 from sealtable.transactions import TransactionManager
 
@@ -56,14 +56,96 @@ class TestOpening:
             crc.unlink()
         with pytest.raises(DatabaseError):
             Database(spark, broken.path, auto_create=False)
-        assert Database(spark, broken.path).tables == {}
+        with pytest.warns(UserWarning):
+            assert Database(spark, broken.path).tables == {}
 
     def test_a_dead_writer_leaves_the_old_state(self, users):
         state = users.catalog.draft()
         users.stage_delete(state, "users", {})
         fresh = Database(users.spark, users.path)
         assert len(fresh.select("users")) == 4
-        assert fresh.vacuum()["deleted_folders"] == 1
+        assert fresh.vacuum()["deleted_folders"] == 0
+        assert fresh.vacuum(writing=0)["deleted_folders"] == 1
+
+    def test_vacuum_spares_a_living_writer(self, users):
+        """It drafts after the vacuum's commit and writes before the vacuum lists the folders."""
+        other = Database(users.spark, users.path)
+        listing, state = users.catalog.versions, {}
+
+        def write_meanwhile():
+            if not state:
+                other.catalog.refresh()
+                state.update(other.catalog.draft())
+                other.stage_insert(state, "users", [_user("dan")])
+            return listing()
+
+        users.catalog.versions = write_meanwhile
+        users.delete("users", {"name": "bob"})
+        assert users.vacuum()["deleted_folders"] >= 1
+        other.catalog.commit(state)
+        assert [r["name"] for r in Database(users.spark, users.path).select("users")] == ["ann", "cat", "ann", "dan"]
+
+    @pytest.mark.parametrize("naming", ["link", "claim"])
+    def test_a_writer_dies_at_any_step(self, users, monkeypatch, naming):
+        """Wherever it dies, the next writer commits; of two at once one does."""
+        monkeypatch.setattr(files, "LEASE", 0.0)
+        steps = {"link": ["create_text", "_name_by_link"], "claim": ["create_text", "_name_by_claim", "move"]}[naming]
+        for step in steps:
+            dying = Database(users.spark, users.path)
+            dying.catalog.files.naming = naming
+
+            def die(*_):
+                raise RuntimeError("died")
+
+            setattr(dying.catalog.files, step, die)
+            dying.catalog.files.delete = lambda path: None
+            with pytest.raises(RuntimeError):
+                dying.insert("users", _user("lost"))
+            alive, late = (Database(users.spark, users.path) for _ in range(2))
+            for db in (alive, late):
+                db.catalog.files.naming = naming
+            alive.insert("users", _user(f"after {step}"))
+            with pytest.raises(ConflictError):
+                late.insert("users", _user("late"))
+        names = [r["name"] for r in Database(users.spark, users.path).select("users")]
+        assert names == ["ann", "bob", "cat", "ann", *(f"after {step}" for step in steps)]
+
+    def test_a_claim_holds_for_its_lease(self, users):
+        store = users.catalog.files
+        store.naming = "claim"
+        target = store.at("manifests", "000000000009.json")
+        assert store._claimed(f"{target}.claim") and not store.create_text(target, "{}")
+
+    def test_a_failed_read_is_no_corruption(self, users):
+        """It is passed on as it is; nothing is moved or made anew."""
+        read, before = files.Files.read_text, sorted(os.listdir(users.path))
+
+        def fail(self, path):
+            raise OSError("the store is away")
+
+        files.Files.read_text = fail
+        try:
+            with pytest.raises(OSError):
+                Database(users.spark, users.path)
+        finally:
+            files.Files.read_text = read
+        assert sorted(os.listdir(users.path)) == before and len(Database(users.spark, users.path).select("users")) == 4
+
+    def test_the_state_before_a_corrupt_manifest(self, users, tmp_path):
+        users.insert("users", _user("dan"))
+        newest = sorted((tmp_path / "db" / "manifests").glob("*.json"))[-1]
+        for crc in (tmp_path / "db" / "manifests").glob(".*.crc"):
+            crc.unlink()
+        newest.write_text("{")
+        with pytest.raises(CorruptedError):
+            Database(users.spark, users.path, auto_create=False)
+        with pytest.warns(UserWarning):
+            again = Database(users.spark, users.path)
+        assert len(again.select("users")) == 4
+        again.insert("users", _user("eve"))
+        assert [r["name"] for r in Database(users.spark, users.path).select("users")] == ["ann", "bob", "cat", "ann", "eve"]
+        with pytest.warns(UserWarning):
+            assert again.vacuum(writing=0)["deleted_folders"] == 0
 
     def test_second_writer_conflicts(self, users):
         other = Database(users.spark, users.path)
@@ -80,8 +162,10 @@ class TestTables:
         info = db.create_table("all", {"s": str, "i": int, "f": float, "b": bool})
         assert info["columns"] == ["s", "i", "f", "b"] and not info["enable_hash_index"]
         assert [f.dataType.simpleString() for f in db.frame("all").schema.fields][2:6] == ["string", "bigint", "double", "boolean"]
-        with pytest.raises(TableError):
+        with pytest.raises(DuplicateError):
             db.create_table("all", {})
+        with pytest.raises(NotFoundError):
+            db.frame("none")
         db.drop_table("all")
         assert db.tables == {}
 
@@ -125,6 +209,17 @@ class TestRows:
         assert users.insert("users", _user("new")) == 5
         assert users.delete("users", {}) == 4 and users.select("users") == []
 
+    def test_changes_rewrite_only_what_they_meet(self, users):
+        users.insert("users", _user("dan", 50))
+        first, second = users.tables["users"]["segments"]
+        assert users.update("users", {"name": "dan"}, {"age": 51}) == 1
+        assert users.tables["users"]["segments"][0] == first and second not in users.tables["users"]["segments"]
+        kept = users.tables["users"]["segments"][1]
+        assert users.delete("users", {"name": "bob"}) == 1 and users.delete("users", {"name": "none"}) == 0
+        assert kept in users.tables["users"]["segments"] and first not in users.tables["users"]["segments"]
+        assert [(r["id"], r["name"]) for r in users.select("users")] == [(1, "ann"), (3, "cat"), (4, "ann"), (5, "dan")]
+        assert users.verify_hash_integrity("users")["invalid_hashes"] == 0
+
     def test_undeclared_fields_count(self, users):
         row = {**_user("eve"), "note": "é", "tags": [1, "a"]}
         digest = users.insert("users", row, return_hash=True)[1]
@@ -136,6 +231,7 @@ class TestRows:
     def test_own_ids_and_many_rows(self, db):
         db.create_table("large", {"id": int, "data": str})
         db.insert_many("large", [{"id": i, "data": f"row{i}"} for i in range(1000)])
+        assert db.insert("large", {"id": 5000, "data": "x"}) == 5000 and db.delete("large", {"id": 5000}) == 1
         assert len(db.select("large")) == 1000 and db.select("large", {"id": 500})[0]["data"] == "row500"
 
     def test_frames(self, spark, db):
@@ -163,12 +259,15 @@ class TestHashes:
         stats = users.get_hash_statistics("users")
         assert (stats["total_rows"], stats["unique_hashes"], stats["duplicate_hash_count"], stats["hash_collision_rate"]) == (4, 3, 1, 0.25)
         assert list(stats["duplicate_hashes"].values()) == [[1, 4]]
+        assert list(users.get_hash_statistics("users", listed=1)["duplicate_hashes"].values()) == [[1]]
+        assert list(users.get_hash_statistics("users", listed=None)["duplicate_hashes"].values()) == [[1, 4]]
         state = users.catalog.draft()
         table = users.catalog.table("users", state)
         hurt = users.frame("users").withColumn("hash", F.when(F.col("id") == 2, "bad").when(F.col("id") != 3, F.col("hash")))
         table["segments"] = [users.catalog.write_segment("users", table, hurt)]
         users.catalog.commit(state)
         report = users.verify_hash_integrity("users")
+        assert len(users.verify_hash_integrity("users", listed=1)["corrupted_rows"]) == 1
         assert report["invalid_hashes"] == 2 and {r["id"] for r in report["corrupted_rows"]} == {2, 3}
         assert users.repair_hash_index("users") == {"repaired_rows": 4, "unique_hashes": 3}
         assert users.verify_hash_integrity("users")["invalid_hashes"] == 1
@@ -216,6 +315,8 @@ class TestTransactions:
             work.delete("users", {"name": "bob"})
             work.insert("users", _user("eve"))
         first = manager.get_transactions()[0]["id"]
+        assert [o["type"] for o in manager.get_transactions()[0]["operations"]] == ["INSERT", "UPDATE", "DELETE", "INSERT"]
+        assert "operations" not in users.catalog.state["history"][0]
         assert [r["id"] for r in users.select("users")] == [1, 3, 4, 5, 6]
         assert users.select("users", {"name": "dan"})[0]["age"] == 1
         assert users.verify_hash_integrity("users")["invalid_hashes"] == 0
