@@ -72,6 +72,16 @@ def oracle_sql() -> dict[str, str]:
         "table_row_counts": "SELECT 'customer' AS table_name, count(*) AS row_count FROM customer UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'lineitem', count(*) FROM lineitem",
         "database_info": "SELECT 3 AS tables_count, ((SELECT count(*) FROM customer) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM lineitem))::bigint AS total_rows",
         "document_row_hash_dedup": "SELECT text, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1",
+        "db_insert": f"SELECT id, * EXCLUDE (id), {H} AS hash FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS id, * FROM customer UNION ALL SELECT (SELECT count(*) + 1 FROM customer), -1, 'ATLANTIS', 1, 0.5, 'NONE')",
+        "db_update": f"SELECT *, {H} AS hash FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS id, * REPLACE (CASE WHEN c_mktsegment = 'BUILDING' THEN 0.0::double ELSE c_acctbal END AS c_acctbal) FROM customer)",
+        "db_update_one": f"SELECT *, {H} AS hash FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS id, * REPLACE (CASE WHEN c_custkey = 7 THEN 'SEVEN' ELSE c_name END AS c_name) FROM customer)",
+        "db_delete": f"SELECT * FROM {T} WHERE c_mktsegment <> 'BUILDING'",
+        "db_select_limit": "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_custkey LIMIT 7",
+        "db_find_by_hash": f"SELECT id, c_custkey, hash FROM {T}, range(2) WHERE id = 42",
+        "db_verify": "SELECT 'damaged' AS state, count(*) AS total_rows, count(*) FILTER (WHERE c_custkey % 2 = 0) AS valid_hashes, count(*) FILTER (WHERE c_custkey % 2 <> 0) AS invalid_hashes FROM customer UNION ALL SELECT 'repaired', count(*), count(*), 0 FROM customer",
+        "db_index": "SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'HOUSES' ELSE c_mktsegment END AS key, count(*) AS n_ids FROM customer GROUP BY 1",
+        "db_info": "SELECT 1::bigint AS tables_count, count(*) AS total_rows, 5::bigint AS version, 4::bigint AS page_count FROM customer",
+        "db_time_travel": f"SELECT * FROM {T}",
         "event_row_hash": f"""SELECT event_id, sha256('{{"event_id": ' || event_id::varchar || ', "event_type": "' || event_type || '", "props": "' || {_json("props")} || '", "ts": "' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '", "user_id": ' || user_id::varchar || ', "value": ' || value::varchar || '}}') AS hash FROM events""",
         "conversation_row_hash": f"""SELECT conv_id, turn, sha256('{{"conv_id": ' || conv_id::varchar || ', "role": "' || role || '", "text": "' || {_ascii("text")} || '", "turn": ' || turn::varchar || '}}') AS hash FROM conversations""",
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import uuid
 from collections.abc import Callable
 from typing import Any
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from sealtable.database import Database
 from sealtable.functions.canonical import calculate_row_hash, row_hash, value_hash
+from sealtable.lineage import checkpointed, shared_folder
+from sealtable.managers import IndexManager
 from sealtable.operators import indexes, integrity
 from sealtable.operators.rows import append_rows, count_matching, delete_rows, seal_rows, select_rows, update_rows, with_ids
 from sealtable.sources import admin, jsonio
@@ -207,13 +210,8 @@ def index_statistics(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A folder for a database of a few rows: under the shared checkpoint folder where there is one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="sealtable-scratch-") + "/db"
+    """A folder for a database, under the shared checkpoint folder."""
+    return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
 def _nations(spark, sf_dir) -> Database:
@@ -223,6 +221,98 @@ def _nations(spark, sf_dir) -> Database:
     return db
 
 
+def _customer_db(spark, sf_dir, parts: int = 4) -> Database:
+    """All customers in a database, inserted in so many commits by ranges of their key."""
+    db = Database(spark, _scratch(spark))
+    db.create_table("customer", {"c_custkey": int, "c_name": str, "c_nationkey": int, "c_acctbal": float, "c_mktsegment": str}, enable_hash_index=True)
+    rows = _customers(spark, sf_dir)
+    ends = [float("-inf"), *rows.approxQuantile("c_custkey", [k / parts for k in range(1, parts)], 0.01), float("inf")]
+    for low, high in zip(ends, ends[1:]):
+        db.insert_frame("customer", rows.filter((F.col("c_custkey") > low) & (F.col("c_custkey") <= high)), ["c_custkey"])
+    return db
+
+
+def _customer_rows(db: Database) -> DataFrame:
+    return db.frame("customer").select(ID, "c_custkey", "c_name", F.col("c_nationkey").cast("int").alias("c_nationkey"), "c_acctbal", "c_mktsegment", HASH)
+
+
+def db_insert(spark, sf_dir):
+    db = _customer_db(spark, sf_dir)
+    db.insert("customer", {"c_custkey": -1, "c_name": "ATLANTIS", "c_nationkey": 1, "c_acctbal": 0.5, "c_mktsegment": "NONE"})
+    return _customer_rows(db)
+
+
+def db_update(spark, sf_dir):
+    db = _customer_db(spark, sf_dir)
+    db.update("customer", BUILDING, {"c_acctbal": 0.0})
+    return _customer_rows(db)
+
+
+def db_update_one(spark, sf_dir):
+    """One row of one segment: the other segments stay as they are."""
+    db = _customer_db(spark, sf_dir)
+    db.update("customer", {"c_custkey": 7}, {"c_name": "SEVEN"})
+    return _customer_rows(db)
+
+
+def db_delete(spark, sf_dir):
+    db = _customer_db(spark, sf_dir)
+    db.delete("customer", BUILDING)
+    return _customer_rows(db)
+
+
+def db_select_limit(spark, sf_dir):
+    return _customer_db(spark, sf_dir).query("customer", BUILDING, limit=7).select("c_custkey", "c_name")
+
+
+def db_find_by_hash(spark, sf_dir):
+    db = _customer_db(spark, sf_dir)
+    digest = db.select("customer", {ID: 42})[0][HASH]
+    found = db.find_by_hash("customer", digest) + db.find_by_hash("customer", digest[:12], exact_match=False)
+    return spark.createDataFrame([(r[ID], r["c_custkey"], r[HASH]) for r in found], "id long, c_custkey long, hash string")
+
+
+def db_verify(spark, sf_dir):
+    """Half of the hashes damaged in a commit, found, and made anew by a repair."""
+    db = _customer_db(spark, sf_dir)
+    state = db.catalog.draft()
+    table = db.catalog.table("customer", state)
+    hurt = db.frame("customer").withColumn(HASH, F.when(F.col("c_custkey") % 2 == 0, F.col(HASH)).otherwise(F.lit("0")))
+    table["segments"] = [db.catalog.write_segment("customer", table, hurt)]
+    db.catalog.commit(state)
+    counts = [("damaged", db.verify_hash_integrity("customer", listed=1))]
+    db.repair_hash_index("customer", recompute=True)
+    counts.append(("repaired", db.verify_hash_integrity("customer")))
+    return spark.createDataFrame([(when, c["total_rows"], c["valid_hashes"], c["invalid_hashes"]) for when, c in counts], "state string, total_rows long, valid_hashes long, invalid_hashes long")
+
+
+def db_index(spark, sf_dir):
+    """An index, statistics of it, and what it finds after an update."""
+    db = _customer_db(spark, sf_dir)
+    manager = IndexManager(db)
+    manager.create_index("customer", "c_mktsegment", "by_segment")
+    db.update("customer", BUILDING, {"c_mktsegment": "HOUSES"})
+    return manager.entries("by_segment").groupBy("key").agg(F.count(F.lit(1)).alias("n_ids"))
+
+
+def db_info(spark, sf_dir):
+    db = _customer_db(spark, sf_dir)
+    info, size = admin.get_database_info(db), admin.get_table_size(db, "customer")
+    return spark.createDataFrame([(info["tables_count"], info["total_rows"], info["version"], size["page_count"])], "tables_count long, total_rows long, version long, page_count long")
+
+
+def db_time_travel(spark, sf_dir):
+    """A transaction over all customers, committed and taken back; the rows are the ones before it."""
+    db = _customer_db(spark, sf_dir)
+    manager = TransactionManager(db)
+    with manager.begin() as work:
+        work.update("customer", BUILDING, {"c_name": "X"})
+        work.delete("customer", {"c_nationkey": 7})
+        gone = work.id
+    manager.rollback_to(gone)
+    return _customer_rows(db)
+
+
 def _like(rows: DataFrame, model: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in model.schema.fields])
 
@@ -280,8 +370,10 @@ def database_info(spark, sf_dir):
 
 
 def document_row_hash_dedup(spark, sf_dir):
+    """The texts there more than once: hashes are counted first, and only texts of repeated ones are gathered."""
     texts = seal_rows(_table(spark, sf_dir, "documents").select("text"))
-    return texts.groupBy(HASH).agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("text", "n")
+    twice = checkpointed(texts.groupBy(HASH).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    return texts.join(twice, HASH).dropDuplicates([HASH]).select("text", "n")
 
 
 def event_row_hash(spark, sf_dir):
@@ -300,6 +392,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         find_by_hashed_value, find_by_hash_and_column, verify_integrity_summary, verify_integrity_corrupted,
         hash_stats, hash_duplicates, repair_hash_index, compare_hash_row, index_build, index_lookup,
         index_statistics, txn_commit, txn_rollback, export_json_rows, import_json_roundtrip, table_row_counts,
-        database_info, document_row_hash_dedup, event_row_hash, conversation_row_hash,
+        database_info, document_row_hash_dedup, event_row_hash, conversation_row_hash, db_insert, db_update,
+        db_update_one, db_delete, db_select_limit, db_find_by_hash, db_verify, db_index, db_info, db_time_travel,
     ]
     return {f.__name__: f for f in plain} | {"value_hash": value_hashes, "row_hash": row_hashes}
