@@ -27,7 +27,7 @@ from .common import checkpointed, staged, words
 #: Labelled rows the classifier is fitted on; buckets of hashed words.
 MAX_ROWS, FEATURES = 6000, 1 << 14
 #: Most iterations, and the error of a domain's share at which they end.
-MAX_STEPS, TOLERANCE = 12, 1e-4
+MAX_STEPS, TOLERANCE = 40, 1e-4
 
 
 @dataclass(frozen=True)
@@ -69,13 +69,17 @@ def fit_domains(
     chosen = (
         labelled.toDF("__id", "__domain")
         .filter(F.col("__id").isNotNull() & F.col("__domain").isin(*domains))
+        .distinct()
         .orderBy(F.xxhash64("__id", F.lit("mix")), "__id", "__domain")
         .limit(max_rows)
     )
     label = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("__domain")).cast("double") - 1
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").alias("__text"))
     # Bounded by max_rows rows of an id and a name, so this side may be sent to every executor.
-    rows = texts.join(F.broadcast(chosen), "__id").select(words(F.col("__text")).alias("__words"), label.alias("__label"))
+    # Of an id's texts the one with the least hash counts, so the joined rows are bounded too.
+    one = F.min(F.struct(F.xxhash64("__text"), "__text").alias("__text"))["__text"].alias("__text")
+    rows = texts.join(F.broadcast(chosen), "__id").groupBy("__id", "__domain").agg(one)
+    rows = rows.select(words(F.col("__text")).alias("__words"), label.alias("__label"))
     # A bounded sample: each partition more would send one gradient more in every iteration.
     rows = checkpointed(_hashed(rows).select("__terms", "__label")).coalesce(4)
     seen = [int(r[0]) for r in rows.select("__label").distinct().collect()]
@@ -110,6 +114,11 @@ class Mix:
     expected: tuple[float, ...] = ()
     targets: tuple[float, ...] = ()
 
+    def shares(self) -> list[tuple[str, float, float]]:
+        """(domain, target, expected) shares of the tokens; where limits or steps end the fit short of the targets, this shows it."""
+        totals = [sum(x) or 1.0 for x in (self.targets, self.expected)]
+        return [(d, t / totals[0], e / totals[1]) for d, t, e in zip(self.domains, self.targets, self.expected)]
+
     def rate(self, posterior: Column) -> Column:
         """The rate of a document with this posterior."""
         rate = F.lit(min(max(1.0, self.least), self.most))
@@ -189,9 +198,9 @@ def mixing_report(
     text_col: str = "text",
     **limits: float,
 ) -> DataFrame:
-    """(doc, n_tokens, posterior, rate, copies) per row: copies is the rate rounded up or down by a hash of id and text.
+    """(doc, n_tokens, posterior, rate, copies, mix) per row: copies is the rate rounded up or down by a hash of id and text.
 
-    Null and empty texts have no tokens; they get a rate all the same. Equal
+    ``mix`` lists (domain, target, expected) shares of the tokens, in every row the same. Null and empty texts have no tokens; they get a rate all the same. Equal
     rows get equal results. An empty table gives no rows.
     """
     model = fit_domains(docs, labelled, sorted(weights), id_col=id_col, text_col=text_col)
@@ -201,12 +210,15 @@ def mixing_report(
     members = checkpointed(model.posteriors(keyed).drop("text"))
     mix = fit_mix(members, model.domains, weights, **limits)
     rated = members.withColumn("rate", mix.rate(F.col("__p")))
+    known = [F.struct(F.lit(d).alias("domain"), F.lit(t).alias("target"), F.lit(e).alias("expected")) for d, t, e in mix.shares()]
+    shares = F.array(*known).cast("array<struct<domain:string,target:double,expected:double>>")
     return rated.select(
         "doc",
         F.col("__tokens").alias("n_tokens"),
         F.col("__p").alias("posterior"),
         "rate",
         _copies(F.col("rate"), F.col("doc"), F.col("digest")).alias("copies"),
+        shares.alias("mix"),
     )
 
 

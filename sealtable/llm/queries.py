@@ -70,7 +70,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "clean").otherwise("poor")
     rows = mixing_report(_documents(spark, sf_dir), labels.select("doc_id", kind.alias("domain")), MIX_WEIGHTS)
     shares = [F.get("posterior", F.lit(k)).alias(f"p_{d}") for k, d in enumerate(sorted(MIX_WEIGHTS))]
-    return rows.select(F.col("doc").alias("doc_id"), "n_tokens", *shares, "rate", "copies")
+    reached = F.array_join(F.transform("mix", lambda m: F.format_string("%s: %.4f of %.4f", m["domain"], m["expected"], m["target"])), ", ")
+    return rows.select(F.col("doc").alias("doc_id"), "n_tokens", *shares, "rate", "copies", reached.alias("reached"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
