@@ -427,6 +427,13 @@ def test_sharding(spark):
     assert all(again[r["doc_id"]] == r["shard"] for r in rows if r["doc_id"] is not None)
 
 
+def test_sharding_of_one_key(spark):
+    """One key with very many equal records and very many different ones."""
+    docs = spark.range(30_000).selectExpr("7L as doc_id", "if(id % 2 = 0, 'same', concat('text ', id)) as text")
+    rows = shard_manifest(docs, 16).select("shard", "slot", "grown_shard").collect()
+    assert {r["shard"] for r in rows} == {slow_shard(7, 16)} and sorted(r["slot"] for r in rows) == list(range(30_000))
+
+
 def test_sharding_weights(spark):
     ids = spark.range(20_000).withColumnRenamed("id", "doc_id")
     counts = {r["shard"]: r["count"] for r in assign_shards(ids, 3, weights={0: 1.0, 1: 1.0, 2: 2.0}).groupBy("shard").count().collect()}
