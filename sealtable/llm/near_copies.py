@@ -53,10 +53,13 @@ def bands(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def similar_links(docs: DataFrame, similarity: float, shingle: int = 5, text_col: str = "text") -> DataFrame:
-    """(a, b) of hashes of texts whose sets of shingles have at least this Jaccard similarity. Empty texts have no pair."""
-    text = F.col(f"`{text_col}`").cast("string")
-    rows = docs.select(F.xxhash64(f"`{text_col}`").alias("digest"), text.alias("text")).filter("text is not null")
+def similar_links(docs: DataFrame, prints: DataFrame, similarity: float, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b) of hashes of texts whose sets of shingles have at least this Jaccard similarity. Empty texts have no pair.
+
+    ``prints`` has (doc, digest) for each row of ``docs``, digest being the hash of its text.
+    """
+    text = F.col(f"`{text_col}`").cast("string").alias("text")
+    rows = docs.select(F.xxhash64(f"`{text_col}`").alias("digest"), text, F.col(f"`{id_col}`").alias("doc")).filter("text is not null")
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -87,11 +90,14 @@ def similar_links(docs: DataFrame, similarity: float, shingle: int = 5, text_col
                 kept.append(common >= similarity * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    signatures = stored(rows.mapInArrow(signed, SEED))
+    signatures = stored(rows.select("digest", "text").mapInArrow(signed, SEED))
     pairs = checkpointed(meetings(signatures.repartitionByRange(*ORDER), False).select("a", "b").distinct())
     asked = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    # Of the copies of a text one is compared.
-    shingles = checkpointed(rows.join(asked.hint("shuffle_hash"), "digest", "left_semi").mapInArrow(sets, "digest bigint, shingles binary").dropDuplicates(["digest"]))
+    # Of the copies of a text one is compared; the id is part of the key, so that they don't all meet in one task.
+    one = asked.join(prints.groupBy("digest").agg(F.min("doc").alias("doc")), "digest").toDF("asked", "asked_doc")
+    same = (F.col("digest") == F.col("asked")) & F.col("doc").eqNullSafe(F.col("asked_doc"))
+    found = rows.join(one.hint("shuffle_hash"), same, "left_semi").select("digest", "text")
+    shingles = checkpointed(found.mapInArrow(sets, "digest bigint, shingles binary").dropDuplicates(["digest"]))
     left, right = shingles.toDF("a", "left"), shingles.toDF("b", "right")
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
     return checkpointed(met.mapInArrow(compared, "a bigint, b bigint"))

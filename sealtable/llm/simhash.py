@@ -135,7 +135,7 @@ def near_components(
     edges = near_links(nodes.select("fp"), max_bits, light)
     if similarity is not None:
         of_text = prints.select("digest", "fp").distinct()
-        similar = similar_links(docs, similarity, shingle, text_col)
+        similar = similar_links(docs, prints, similarity, shingle, id_col, text_col)
         similar = similar.join(of_text.toDF("a", "fp_a"), "a").join(of_text.toDF("b", "fp_b"), "b")
         edges = edges.union(similar.select("fp_a", "fp_b").filter("fp_a <> fp_b"))
     roots = checkpointed(connected_components(edges))
