@@ -27,7 +27,7 @@ MAX_ROWS, MAX_BYTES = 6000, 1 << 16
 #: Bytes of a dictionary, compression level, bytes of a training piece.
 DICT_BYTES, LEVEL, PIECE = 112_640, 3, 4096
 #: Parts of the sample that are left out in turn for the calibration.
-FOLDS = 3
+FOLDS = 8
 #: A text is good if its score reaches this.
 THRESHOLD = 0.3
 
