@@ -369,11 +369,21 @@ def database_info(spark, sf_dir):
     return counts.agg(F.count(F.lit(1)).cast("int").alias("tables_count"), F.sum("row_count").alias("total_rows"))
 
 
+#: Rows of a hash and two numbers that a join may broadcast: some 10 MB.
+FEW = 100_000
+
+
 def document_row_hash_dedup(spark, sf_dir):
-    """The texts there more than once: hashes are counted first, and only texts of repeated ones are gathered."""
-    texts = seal_rows(_table(spark, sf_dir, "documents").select("text"))
-    twice = checkpointed(texts.groupBy(HASH).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    return texts.join(twice, HASH).dropDuplicates([HASH]).select("text", "n")
+    """The texts there more than once: hashes are counted first, in one pass, and only texts of repeated ones are gathered."""
+    texts = _table(spark, sf_dir, "documents").select("text")
+    digest = F.xxhash64("text").alias("digest")
+    twice = checkpointed(
+        seal_rows(texts).groupBy(F.col(HASH).alias("wanted")).agg(F.count(F.lit(1)).alias("n"), F.min(digest).alias("digest")).filter("n > 1")
+    )
+    found = texts.join(F.broadcast(twice) if twice.count() <= FEW else twice, digest == F.col("digest"))
+    # Next to always one text, however often it is there; one that merely shares the short digest has another hash.
+    each = found.groupBy("wanted", "n").agg(F.collect_set("text").alias("texts")).select("wanted", "n", F.explode("texts").alias("text"))
+    return each.filter(row_hash(texts.schema) == F.col("wanted")).select("text", "n")
 
 
 def event_row_hash(spark, sf_dir):
