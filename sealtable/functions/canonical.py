@@ -29,8 +29,10 @@ def json_string(value: Column) -> Column:
     short = value
     for char, escape in _SHORT_ESCAPES:
         short = F.replace(short, F.lit(char), F.lit(escape))
-    utf16 = lambda ch: F.regexp_replace(F.lower(F.hex(F.encode(ch, "UTF-16BE"))), "(.{4})", r"\\u$1")
-    rare = F.array_join(F.transform(F.split(short, ""), lambda ch: F.when(ch.rlike("[ -~]"), ch).otherwise(utf16(ch))), "")
+    utf16 = lambda run: F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    # By runs, not characters: a long text in a Latin script has few rare ones.
+    runs = F.regexp_extract_all(short, F.lit("([ -~]+|[^ -~]+)"), F.lit(1))
+    rare = F.array_join(F.transform(runs, lambda run: F.when(run.rlike("^[ -~]"), run).otherwise(utf16(run))), "")
     plain = ~value.rlike(r'[^ -~]|["\\]')
     body = F.when(plain, value).when(~short.rlike("[^ -~]"), short).otherwise(rare)
     return F.concat(F.lit('"'), body, F.lit('"'))
