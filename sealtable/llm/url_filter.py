@@ -5,7 +5,9 @@ finds the token combinations that are frequent among them; a combination with
 a verdict is an association rule, pruned by support and confidence and, if a
 part of it says the same as surely, dropped. Tokens that stand in the very same
 URLs are mined as one and told apart afterwards, as they would else double the
-combinations each; a labelled URL that still has many is left out. Rules meet URLs through an
+combinations each. Labelled URLs that still have many are kept from FP-growth, which
+goes through combinations of every length, and mined level by level up to the length of
+a rule; what is frequent in either part is counted over all. Rules meet URLs through an
 inverted index: each is filed under its rarest token, joined with the tokens of
 the URL and then checked whole. Digits are one token character, so URLs fall
 into few patterns; patterns, not URLs, are matched.
@@ -13,6 +15,7 @@ into few patterns; patterns, not URLs, are matched.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,7 +30,7 @@ ALLOW, BLOCK = "allow", "block"
 MAX_ROWS, MIN_SUPPORT = 50_000, 0.01
 #: Share of a combination's labelled URLs that must have the verdict; most tokens of a combination.
 MIN_CONFIDENCE, MAX_TOKENS = 0.8, 3
-#: Different frequent tokens, counting those of the same URLs once, of a labelled URL that is mined.
+#: Different frequent tokens, counting those of the same URLs once, of a labelled URL that goes to FP-growth; others are mined level by level.
 MAX_BASKET = 14
 
 
@@ -108,19 +111,21 @@ def mine_rules(
 ) -> DataFrame:
     """(rule_tokens, verdict, support, confidence, rarest) from ``labelled`` (tokens, verdict).
 
-    A basket has at most ``max_basket`` tokens, and at most 1 / ``min_support``
-    kinds of basket with nothing in common can be frequent, so what is mined is
-    bounded by the parameters, not by the URLs' number or length. Rules have at
-    most ``max_tokens`` tokens. No labelled rows give no rules.
+    All rows are mined. FP-growth gets those of at most ``max_basket`` tokens,
+    the others take ``_long_sets``; a combination frequent among all rows is
+    frequent in one part at least, and is counted over both. Rules have at most
+    ``max_tokens`` tokens. No labelled rows give no rules.
     """
     labelled = checkpointed(labelled.withColumn("row", F.monotonically_increasing_id()))
     classes = _token_classes(labelled, min_support)
     listed = labelled.select("row", "verdict", F.explode("tokens").alias("token")).join(classes, "token")
-    kept = listed.groupBy("row", "verdict").agg(F.collect_set("rep").alias("reps")).filter(F.size("reps") <= max_basket)
+    kept = checkpointed(listed.groupBy("row", "verdict").agg(F.array_sort(F.collect_set("rep")).alias("reps")))
+    short = kept.filter(F.size("reps") <= max_basket)
+    n_long = kept.filter(F.size("reps") > max_basket).count()
     # Rows without a frequent token count too.
     verdict = F.concat(F.lit("verdict="), F.col("verdict"))
     bare = labelled.join(listed.select("row"), "row", "left_anti").select(F.array(verdict).alias("items"))
-    baskets = checkpointed(kept.select(F.array_append("reps", verdict).alias("items")).unionByName(bare))
+    baskets = checkpointed(short.select(F.array_append("reps", verdict).alias("items")).unionByName(bare))
     frequent = checkpointed(
         FPGrowth(itemsCol="items", minSupport=min_support).fit(baskets).freqItemsets.select(
             F.array_sort("items").alias("items"), "freq"
@@ -132,17 +137,19 @@ def mine_rules(
         "freq",
     ).filter(F.size("rule_tokens").between(1, max_tokens))
     whole = split.filter(F.col("marked").isNull()).select("rule_tokens", F.col("freq").alias("of"))
-    sure = (
-        split.filter(F.col("marked").isNotNull())
-        .join(whole, "rule_tokens")
-        .select(
-            "rule_tokens",
-            F.substring("marked", len("verdict=") + 1, 100).alias("verdict"),
-            F.col("freq").alias("support"),
-            (F.col("freq") / F.col("of")).alias("confidence"),
-        )
-        .filter(F.col("confidence") >= min_confidence)
-    )
+    if n_long:
+        least = math.ceil(min_support * labelled.count())
+        alike = kept.groupBy("reps", "verdict").agg(F.count(F.lit(1)).alias("n"))
+        alike = checkpointed(alike.select(F.monotonically_increasing_id().alias("basket"), "*", (F.size("reps") > max_basket).alias("long")))
+        sets = whole.select("rule_tokens").union(_long_sets(alike, least, min_support * n_long, max_tokens)).distinct()
+        counted = _counted(sets, alike).filter(F.col("freq") >= least)
+    else:
+        marked = split.filter(F.col("marked").isNotNull()).withColumn("verdict", F.substring("marked", len("verdict=") + 1, 100))
+        counted = marked.join(whole, "rule_tokens")
+    sure = counted.select(
+        "rule_tokens", "verdict", F.col("freq").alias("support"), (F.col("freq") / F.col("of")).alias("confidence")
+    ).filter(F.col("confidence") >= min_confidence)
+    sure = checkpointed(sure) if n_long else sure
     # A rule with a shorter one inside it of the same verdict and at least its confidence says nothing new.
     shorter = sure.select(F.col("rule_tokens").alias("part"), F.col("verdict").alias("part_verdict"), F.col("confidence").alias("part_confidence"))
     parts = sure.select("rule_tokens", "verdict", "confidence", F.explode(_proper_parts(F.col("rule_tokens"), max_tokens)).alias("part"))
@@ -162,6 +169,47 @@ def mine_rules(
     return kept.join(rarest, "rule_tokens")
 
 
+def _counted(sets: DataFrame, alike: DataFrame) -> DataFrame:
+    """(rule_tokens, verdict, freq, of) of ``sets`` (rule_tokens) over all of ``alike`` (reps, verdict, n)."""
+    listed = alike.select("reps", "verdict", "n", F.explode("reps").alias("rep"))
+    met = listed.join(sets.withColumn("rep", F.get("rule_tokens", F.lit(0))), "rep").filter(F.size(F.array_except("rule_tokens", "reps")) == 0)
+    by_verdict = checkpointed(met.groupBy("rule_tokens", "verdict").agg(F.sum("n").alias("freq")))
+    return by_verdict.join(by_verdict.groupBy("rule_tokens").agg(F.sum("freq").alias("of")), "rule_tokens")
+
+
+def _long_sets(alike: DataFrame, least: float, least_long: float, max_tokens: int) -> DataFrame:
+    """(rule_tokens): of the sets in at least ``least`` rows and ``least_long`` long ones, those that can be a rule.
+
+    ``alike`` has (basket, reps, verdict, n, long). A set whose rows all have one
+    verdict is not extended, nor one in as many rows as a set inside it: what
+    would come of it has a shorter rule inside it that says the same as surely.
+    """
+    of_basket = alike.select("basket", "verdict", "n", F.when(F.col("long"), F.col("n")).otherwise(0).alias("n_long"))
+    held = alike.select("basket", F.explode(F.transform("reps", lambda t: F.array(t))).alias("rule_tokens"))
+    found, last = None, None
+    for size in range(1, max_tokens + 1):
+        if last is not None:
+            able = held.join(last.filter("mixed").select("rule_tokens"), "rule_tokens")
+            able = able.select("basket", F.slice("rule_tokens", 1, size - 2).alias("head"), F.element_at("rule_tokens", -1).alias("end"))
+            able = checkpointed(able)
+            pairs = able.join(able.withColumnRenamed("end", "next"), ["basket", "head"]).filter("end < next")
+            held = pairs.select("basket", F.concat("head", F.array("end", "next")).alias("rule_tokens"))
+        sets = held.join(of_basket, "basket").groupBy("rule_tokens").agg(
+            F.sum("n").alias("of"), F.sum("n_long").alias("of_long"), (F.min("verdict") < F.max("verdict")).alias("mixed")
+        )
+        sets = sets.filter((F.col("of") >= least) & (F.col("of_long") >= least_long))
+        if last is not None:
+            # Each set of one token less must be there, be mixed, and have more rows.
+            parts = F.transform("rule_tokens", lambda t: F.array_remove("rule_tokens", t))
+            inner = last.filter("mixed").select(F.col("rule_tokens").alias("part"), F.col("of").alias("part_of"))
+            free = sets.select("rule_tokens", "of", F.explode(parts).alias("part")).join(inner, "part").filter("part_of > of")
+            free = free.groupBy("rule_tokens").agg(F.count(F.lit(1)).alias("parts")).filter(F.col("parts") == size)
+            sets = sets.join(free.select("rule_tokens"), "rule_tokens")
+        last = checkpointed(sets.select("rule_tokens", "of", "mixed"))
+        found = last.select("rule_tokens") if found is None else found.union(last.select("rule_tokens"))
+    return found
+
+
 def _told_apart(rules: DataFrame, classes: DataFrame, max_tokens: int) -> DataFrame:
     """Each rule once for every choice of one token for each representative."""
     members = classes.groupBy("rep").agg(F.collect_list("token").alias("members"))

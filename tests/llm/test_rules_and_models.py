@@ -393,6 +393,20 @@ def test_mined_rules(spark):
     assert all(r["rarest"] == min(r["rule_tokens"], key=lambda t: (single[t], t)) for r in found)
 
 
+@pytest.mark.parametrize("max_basket", [0, 4, 14])
+def test_rows_of_many_tokens_are_mined(spark, max_basket):
+    """Rules are those of brute force, also where they stand in rows of more tokens than FP-growth gets, or in both kinds."""
+    rng = random.Random(8)
+    rows = []
+    for n in range(240):
+        letters = LETTERS[:9] if n % 3 else LETTERS[:18]
+        tokens = sorted(x for x in letters if rng.random() < 0.5)
+        rows.append((tokens, "block" if {"a", "b"} <= set(tokens) or "r" in tokens and "q" not in tokens or rng.random() < 0.1 else "allow"))
+    found = mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8, 3, max_basket=max_basket).collect()
+    assert {(tuple(r["rule_tokens"]), r["verdict"]): (r["support"], r["confidence"]) for r in found} == slow_rules(rows, 0.05, 0.8, 3)
+    assert len(found) == len({(tuple(r["rule_tokens"]), r["verdict"]) for r in found})
+
+
 def test_native_queries_use_no_python(spark):
     for name in ("op2_line_dedup", "op6_mixing", "op7_url_filters", "op8_sharding"):
         plan = registered.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
