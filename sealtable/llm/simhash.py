@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, join_hot
 from .components import connected_components
-from .near_copies import similar_links
+from .near_copies import crowd_links, signatures, similar_links
 
 #: Distinct fingerprints of one key that are compared pair by pair.
 LIGHT = 64
@@ -134,10 +134,21 @@ def near_components(
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("n")))
     edges = near_links(nodes.select("fp"), max_bits, light)
     if similarity is not None:
-        of_text = prints.select("digest", "fp").distinct()
-        similar = similar_links(docs, prints, similarity, shingle, id_col, text_col)
-        similar = similar.join(of_text.toDF("a", "fp_a"), "a").join(of_text.toDF("b", "fp_b"), "b")
-        edges = edges.union(similar.select("fp_a", "fp_b").filter("fp_a <> fp_b"))
+        of_text = checkpointed(prints.select("digest", "fp").distinct())
+        signed = signatures(docs, shingle, id_col, text_col)
+
+        def between(links: DataFrame) -> DataFrame:
+            ends = links.join(of_text.toDF("a", "fp_a"), "a").join(of_text.toDF("b", "fp_b"), "b")
+            return ends.select("fp_a", "fp_b").filter("fp_a <> fp_b")
+
+        edges = edges.union(between(similar_links(docs, prints, signed, similarity, shingle, id_col, text_col)))
+        roots = checkpointed(connected_components(edges))
+        sizes = of_text.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+        of_print = sizes.join(roots.toDF("fp", "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n")
+        # A fingerprint may be that of very many texts.
+        rooted = join_hot(of_text, checkpointed(of_print), "fp").select("digest", "root")
+        rest = between(crowd_links(docs, prints, signed, rooted, similarity, shingle, id_col, text_col))
+        edges = roots.union(rest)
     roots = checkpointed(connected_components(edges))
     linked = checkpointed(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least"))
     heads = linked.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n"))

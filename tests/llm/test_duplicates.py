@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sealtable.llm import common, simhash, substring
+from sealtable.llm import common, near_copies, simhash, substring
 from sealtable.llm.components import connected_components
 from sealtable.llm.line_dedup import dedup_lines, kept_runs
 from sealtable.llm.simhash import keep_one, near_components, near_links, simhash64
@@ -135,6 +135,34 @@ def test_pipeline_drops_edited_copies(spark):
     assert got == wanted and len(wanted) < 100
 
 
+@pytest.mark.parametrize("tile", [16, 512])
+def test_crowded_bands(spark, monkeypatch, tile):
+    """Texts whose only similar one is no neighbour in a crowded band are found, be they in one tile or several."""
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    rng = random.Random(51)
+    texts = [(i, words(rng, 60)) for i in range(200)]
+    partners = [(200 + i, t + " end") for i, (_, t) in enumerate(texts[:40])]
+    docs = spark.createDataFrame(texts + partners, "doc_id long, text string")
+    prints = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("digest"))
+    signed = prints.selectExpr("7L as h", "0L as after", "0L as before", "digest as text", "0 as spot")
+    rooted = prints.select("digest", F.col("digest").alias("root"))
+    doc_of = {r["digest"]: r["doc"] for r in prints.collect()}
+    got = near_copies.crowd_links(docs, prints, signed, rooted, 0.8).collect()
+    assert {tuple(sorted((doc_of[r["a"]], doc_of[r["b"]]))) for r in got} == {(i, 200 + i) for i in range(40)}
+    # Of one component: nothing to compare.
+    assert near_copies.crowd_links(docs, prints, signed, rooted.withColumn("root", F.lit(1)), 0.8).count() == 0
+
+
+def test_pipeline_loses_no_link_in_crowded_bands(spark, monkeypatch):
+    """Near copies that all share a band, of which neighbours are made useless, still leave one document each."""
+    monkeypatch.setattr(near_copies, "bands", lambda shingles: np.arange(1, near_copies.BANDS + 1, dtype=np.int64))
+    rng = random.Random(52)
+    texts = [words(rng, 50) for _ in range(60)]
+    rows = list(enumerate(texts + [f"{t} end" for t in texts]))
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, frame(spark, rows), "").collect())
+    assert got == list(range(60))
+
+
 def slow_lines(rows, least=20, most=3):
     holders = defaultdict(set)
     key = lambda line: "".join(c.lower() if c.isascii() else c for c in line.strip(" \t\n\x0b\x0c\r"))
