@@ -297,6 +297,63 @@ def test_passage_of_frequent_lines(spark):
     assert {r["doc"] for r in repeated_passages(frame(spark, rows)).collect()} == wanted
 
 
+def around_line(rng, line, edit):
+    """A passage of 60 words around a line: with ``edit`` every fifth other word is replaced, those beside the line too."""
+    words_of = words(rng, 44).split()
+    low, high = words_of[:22], words_of[22:]
+    changed = lambda part, at: [rng.choice(VOCABULARY) if i in at else w for i, w in enumerate(part)]
+    both = [(low, high), (changed(low, edit), changed(high, [21 - i for i in edit]))]
+    return [" ".join([*left, line, *right]) for left, right in both]
+
+
+@pytest.mark.parametrize("tile", [64, 2048])
+def test_no_link_is_lost_in_a_crowd(spark, monkeypatch, tile):
+    """Two texts whose only shared seeds many others hold, which stand between them, be they in one tile or several."""
+    monkeypatch.setattr(substring, "TILE", tile)
+    rng = random.Random(26)
+    line = words(rng, 16)
+    rows = [(1000 + i, f"{words(rng, 70)} {line} {words(rng, 70)}") for i in range(400)]
+    pairs = [around_line(rng, line, (5, 9, 13, 17, 21)) for _ in range(20)]
+    rows += [(2 * i + k, f"{words(rng, 70)} {part} {words(rng, 70)}") for i, pair in enumerate(pairs) for k, part in enumerate(pair)]
+    rows += [(500, rows[-1][1]), (501, rows[-1][1]), (500, rows[-1][1])]
+    got = {r["doc"]: (r["class_id"], r["n_links"]) for r in repeated_passages(frame(spark, rows)).collect()}
+    assert got == {d: (min(d, 39) // 2 * 2, 1) for d in [*range(40), 500, 501]}
+
+
+def test_later_occurrences_of_a_seed(spark):
+    """A passage around the sixth or seventh occurrence of a line meets one around the other text's only occurrence."""
+    rng = random.Random(27)
+    line = words(rng, 16)
+    (one, other), (two, another) = (around_line(rng, line, (5, 9, 13, 17, 21)) for _ in range(2))
+    held = " ".join(f"{words(rng, 70)} {line} {words(rng, 70)}" for _ in range(5))
+    rows = [(1, f"{held} {one} {words(rng, 70)} {two}"), (2, f"{words(rng, 70)} {other}"), (3, f"{another} {words(rng, 70)}")]
+    assert {r["doc"]: r["class_id"] for r in repeated_passages(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_tile_passages():
+    """The same components as of all pairs, aligned one by one."""
+    rng = random.Random(28)
+    line = words(rng, 16)
+    texts = [f"{words(rng, 70)} {line} {words(rng, 70)}" for _ in range(30)]
+    for _ in range(15):
+        texts += [f"{words(rng, 20)} {part} {words(rng, 20)}" for part in around_line(rng, line, rng.sample(range(22), rng.choice((2, 4, 5, 6))))]
+    texts += ["and " * 70 + line + " and" * 70, "and " * 50 + line + " or" * 70]
+    hashes = [word_hashes(t) for t in texts]
+    key = sorted(set.intersection(*(set(seeds(h)[0].tolist()) for h in hashes)))[0]
+    at = [int(p[h.tolist().index(key)]) for h, p in map(seeds, hashes)]
+    before, after = substring.contexts(hashes, [np.array([i]) for i in at])
+    n = len(texts)
+    got = substring.tile_passages(np.arange(n), np.arange(n), np.zeros(n), after, before, np.array(at), hashes)
+    lists = [h.tolist() for h in hashes]
+    slow = [(x, y) for x in range(n) for y in range(x + 1, n) if passages(lists[x], lists[y], 0, 0, [(at[x], at[y])])]
+    assert len(slow) > 10 and roots((x, y) for x, y, _ in got) == roots(slow)
+    assert all(spans == passages(lists[x], lists[y], 0, 0, [(at[x], at[y])]) for x, y, spans in got)
+    # Of one group, one text or one of two sides nothing is compared.
+    for group, text, side in ((np.zeros(n), np.arange(n), np.zeros(n)), (np.arange(n), np.zeros(n), np.zeros(n)), (np.arange(n), np.arange(n), np.arange(n) >= n - 1)):
+        found = substring.tile_passages(group, text, side, after, before, np.array(at), hashes)
+        assert all(y == n - 1 for _, y, _ in found) and (len(found) == 0 or side.any())
+
+
 def test_large_fuzzy_group(spark):
     """Each text that has a partner of similarity 0.8 by brute force is found in a crowd of edited copies."""
     rng = random.Random(22)
