@@ -327,6 +327,8 @@ def test_later_occurrences_of_a_seed(spark):
     (one, other), (two, another) = (around_line(rng, line, (5, 9, 13, 17, 21)) for _ in range(2))
     held = " ".join(f"{words(rng, 70)} {line} {words(rng, 70)}" for _ in range(5))
     rows = [(1, f"{held} {one} {words(rng, 70)} {two}"), (2, f"{words(rng, 70)} {other}"), (3, f"{another} {words(rng, 70)}")]
+    # Crowds of the later occurrences too, which have hashes of their own.
+    rows += [(10 + i, " ".join(f"{words(rng, 70)} {line}" for _ in range(7))) for i in range(10)]
     assert {r["doc"]: r["class_id"] for r in repeated_passages(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 1}
 
 
