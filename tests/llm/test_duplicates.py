@@ -373,6 +373,12 @@ def test_crowd_of_few_words(monkeypatch):
     found = substring.tile_passages(np.arange(n), np.arange(n), np.zeros(n), after, before, at, hashes)
     assert (n - 2, n - 1) in slow and roots((x, y) for x, y, _ in found) == roots(slow)
     assert len(aligned) <= 2 * len(slow) + 10
+    # Two crowds in one call: each has the links it has alone, though their rows are of the same texts and groups.
+    half = np.arange(n) % 2
+    both = substring.tile_passages(np.arange(n) // 2, np.arange(n) // 2, np.zeros(n), after, before, at, hashes, half)
+    alone = [np.flatnonzero(half == k) for k in range(2)]
+    apart = [substring.tile_passages(k // 2, k // 2, np.zeros(len(k)), after[k], before[k], at[k], [hashes[i] for i in k]) for k in alone]
+    assert apart[0] and sorted(both) == sorted((int(k[x]), int(k[y]), spans) for k, links in zip(alone, apart) for x, y, spans in links)
 
 
 def test_followed_word_by_word():
