@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -545,3 +546,55 @@ def test_passages_of_the_corpus(spark):
     for r in links.collect():
         one, two = tokens[of[r["a"]]][r["a_start"] : r["a_end"]], tokens[of[r["b"]]][r["b_start"] : r["b_end"]]
         assert min(len(one), len(two)) >= 50 and longest_common(one, two) >= 0.8 * max(len(one), len(two))
+
+
+@pytest.mark.parametrize("split", [0, 13])
+def test_rows_that_share_tokens_meet(split, monkeypatch):
+    """No pair that shares enough is lost, whether rows meet at rare tokens or all are counted, and rare ones cost few meetings."""
+    rng = np.random.RandomState(29)
+    for words_in_all, budget in ((40, 4), (40, 1 << 20), (4000, 4)):
+        monkeypatch.setattr(substring, "_MEETINGS", budget)
+        monkeypatch.setattr(substring, "_COUNTS", 300)
+        held = [np.r_[np.arange(12), rng.zipf(1.3, 50) % words_in_all] for _ in range(60)]
+        held[40:50] = [np.r_[held[k][:45], rng.randint(0, words_in_all, 5)] for k in range(10)]
+        rows, tokens = np.repeat(np.arange(60), [len(h) for h in held]), (np.concatenate(held).astype(np.uint64) + np.uint64(1)) * substring._ODD[0]
+        shared = lambda x, y: sum((Counter(held[x].tolist()) & Counter(held[y].tolist())).values())
+        first, second = (range(split), range(split, 60)) if split else (range(60), range(60))
+        enough = {(x, y) for x in first for y in second if x < y and shared(x, y) >= 19}
+        group, got, offered = np.arange(60), set(), set()
+        for xs, ys in substring._sharing(rows, tokens, 60, split, 19, group, lambda x, y: np.ones(len(x), bool)):
+            for x, y in zip(xs.tolist(), ys.tolist()):
+                offered.add((x, y))
+                if (x, y) in enough and group[x] != group[y]:
+                    got.add((x, y))
+                    group[group == group[y]] = group[x]
+        assert enough and roots(got) == roots(enough)
+        assert all(x < y and (not split or x < split <= y) for x, y in offered)
+
+
+def test_lone_runs_are_as_aligned():
+    """A chain within one run of matching words gives what the alignment gives."""
+    rng = random.Random(31)
+    left, right, begins, spots = [], [], [[], []], []
+    for n in range(300):
+        run = words(rng, rng.choice((20, 45, 49, 50, 60))).split()
+        ends = [[*words(rng, rng.randint(0, 30)).split()] for _ in range(4)]
+        if n % 3 == 0:
+            ends[1][2:5] = ends[3][1:4] = run[:3]
+        a, b = word_hashes(" ".join(ends[0] + run + ends[1])), word_hashes(" ".join(ends[2] + run + ends[3]))
+        left.append(a)
+        right.append(b)
+        begins[0].append(n)
+        begins[1].append(2 * n)
+        spots.append([(len(ends[0]) + k + n, len(ends[2]) + k + 2 * n) for k in sorted(rng.sample(range(16), rng.choice((1, 2))))])
+    kind = pa.list_(pa.struct([("a_spot", pa.int32()), ("b_spot", pa.int32())]))
+    chain = pa.array([[{"a_spot": x, "b_spot": y} for x, y in c] for c in spots], kind)
+    ended, firsts, runs = substring._lone_runs([left, right], begins, chain)
+    assert 100 < sum(ended) < 300
+    for n in range(300):
+        if ended[n]:
+            slow = passages(left[n].tolist(), right[n].tolist(), n, 2 * n, spots[n])
+            a0, b0 = firsts[0][n], firsts[1][n]
+            assert slow == ([(a0, a0 + runs[n], b0, b0 + runs[n], runs[n])] if runs[n] >= 50 else [])
+    # Seeds where all texts begin have no words before them.
+    assert substring._lone_runs([[left[0]], [left[0]]], [[0], [0]], pa.array([[{"a_spot": 0, "b_spot": 0}]], kind))[2] == [len(left[0])]
