@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_hot, stored
+from .common import checkpointed, join_hot, sorted_side, stored
 from .substring import LIGHT, ORDER, SEED, meetings
 
 BANDS, ROWS = 16, 4
@@ -93,7 +93,7 @@ def _shingles(docs: DataFrame, prints: DataFrame, asked: DataFrame, shingle: int
             yield pa.RecordBatch.from_arrays([batch.column(0), packed], names=["digest", "shingles"])
 
     # Of the copies of a text one is compared; the id is part of the key, so that they don't all meet in one task.
-    one = asked.join(prints.groupBy("digest").agg(F.min("doc").alias("doc")), "digest").toDF("asked", "asked_doc")
+    one = asked.join(sorted_side(prints.groupBy("digest").agg(F.min("doc").alias("doc"))), "digest").toDF("asked", "asked_doc")
     same = (F.col("digest") == F.col("asked")) & F.col("doc").eqNullSafe(F.col("asked_doc"))
     found = _rows(docs, id_col, text_col).join(one.hint("shuffle_hash"), same, "left_semi").select("digest", "text")
     return checkpointed(found.mapInArrow(sets, "digest bigint, shingles binary").dropDuplicates(["digest"]))
@@ -122,7 +122,7 @@ def similar_links(
     asked = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
     shingles = _shingles(docs, prints, asked, shingle, id_col, text_col)
     left, right = shingles.toDF("a", "left"), shingles.toDF("b", "right")
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
+    met = pairs.join(sorted_side(left), "a").join(sorted_side(right), "b").select("a", "b", "left", "right")
     return checkpointed(met.mapInArrow(compared, "a bigint, b bigint"))
 
 
@@ -166,7 +166,7 @@ def crowd_links(
     """
     crowded = signed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > LIGHT)
     crowd = checkpointed(join_hot(signed.select("h", "text"), checkpointed(crowded), "h").select("h", F.col("text").alias("digest")).distinct())
-    rooted = checkpointed(crowd.join(roots, "digest"))
+    rooted = checkpointed(crowd.join(sorted_side(roots), "digest"))
     mixed = rooted.groupBy("h").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("mixed"))
     mixed = mixed.filter("mixed").select("h", F.col("n"), F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
     rest = checkpointed(join_hot(rooted, checkpointed(mixed), "h"))
@@ -183,4 +183,4 @@ def crowd_links(
         found = np.array(tile_links(tile["root"].to_numpy(), sets, similarity), np.int64).reshape(-1, 2)
         return pa.table({"a": digests[found[:, 0]], "b": digests[found[:, 1]]})
 
-    return checkpointed(dealt.join(shingles, "digest").groupBy("h", "low", "high").applyInArrow(compared, "a bigint, b bigint"))
+    return checkpointed(dealt.join(sorted_side(shingles), "digest").groupBy("h", "low", "high").applyInArrow(compared, "a bigint, b bigint"))

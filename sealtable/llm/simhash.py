@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, join_hot
+from .common import checkpointed, join_hot, sorted_side
 from .components import connected_components
 from .near_copies import crowd_links, signatures, similar_links
 
@@ -86,12 +86,12 @@ def near_links(fps: DataFrame, max_bits: int = 2, light: int = LIGHT) -> DataFra
     wiped = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, v % 32)")))
     index = halves.select(F.expr("shiftleft(cast(v as bigint), 32)").bitwiseOR(wiped).alias("key"), "fp")
     shared_keys = index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = checkpointed(index.join(shared_keys, "key"))
+    shared = checkpointed(index.join(sorted_side(shared_keys), "key"))
 
     few = shared.filter(F.col("n") <= light)
     left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    pairs = left.join(right, (left["key"] == right["key"]) & near).select("a", "b")
+    pairs = left.join(sorted_side(right), (left["key"] == right["key"]) & near).select("a", "b")
 
     crowd = shared.filter(F.col("n") > light).select("fp").distinct()
     return pairs.union(_ball_links(crowd, max_bits)).distinct()
@@ -110,7 +110,7 @@ def _ball_links(fps: DataFrame, max_bits: int) -> DataFrame:
         spots = F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i")
         keyed = fps.select("fp", spots).selectExpr("fp", "0 as i", "if(i = 64, fp, fp ^ shiftleft(1L, i)) as z")
     heads = keyed.groupBy("i", "z").agg(F.min("fp").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return keyed.join(heads, ["i", "z"]).filter("fp <> b").select(F.col("fp").alias("a"), "b")
+    return keyed.join(sorted_side(heads), ["i", "z"]).filter("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
 def near_components(
@@ -138,24 +138,24 @@ def near_components(
         signed = signatures(docs, shingle, id_col, text_col)
 
         def between(links: DataFrame) -> DataFrame:
-            ends = links.join(of_text.toDF("a", "fp_a"), "a").join(of_text.toDF("b", "fp_b"), "b")
+            ends = links.join(sorted_side(of_text.toDF("a", "fp_a")), "a").join(sorted_side(of_text.toDF("b", "fp_b")), "b")
             return ends.select("fp_a", "fp_b").filter("fp_a <> fp_b")
 
         edges = edges.union(between(similar_links(docs, prints, signed, similarity, shingle, id_col, text_col)))
         roots = checkpointed(connected_components(edges))
         sizes = of_text.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-        of_print = sizes.join(roots.toDF("fp", "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n")
+        of_print = sizes.join(sorted_side(roots.toDF("fp", "root")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "n")
         # A fingerprint may be that of very many texts.
         rooted = join_hot(of_text, checkpointed(of_print), "fp").select("digest", "root")
         rest = between(crowd_links(docs, prints, signed, rooted, similarity, shingle, id_col, text_col))
         edges = roots.union(rest)
     roots = checkpointed(connected_components(edges))
-    linked = checkpointed(nodes.join(roots, nodes["fp"] == roots["node"]).select("fp", "root", "least"))
+    linked = checkpointed(nodes.join(sorted_side(roots), nodes["fp"] == roots["node"]).select("fp", "root", "least"))
     heads = linked.groupBy("root").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("n"))
     # A component may hold very many fingerprints, and a fingerprint very many documents.
     placed = join_hot(linked, heads, "root").select("fp", "root", "component")
     of_print = checkpointed(
-        nodes.join(placed, "fp", "left").select(
+        nodes.join(sorted_side(placed), "fp", "left").select(
             "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component"), "n"
         )
     )

@@ -598,3 +598,13 @@ def test_lone_runs_are_as_aligned():
             assert slow == ([(a0, a0 + runs[n], b0, b0 + runs[n], runs[n])] if runs[n] >= 50 else [])
     # Seeds where all texts begin have no words before them.
     assert substring._lone_runs([[left[0]], [left[0]]], [[0], [0]], pa.array([[{"a_spot": 0, "b_spot": 0}]], kind))[2] == [len(left[0])]
+
+
+def test_nothing_exploded_is_broadcast(spark):
+    """However small Spark takes a table for: its size is guessed from before the explode."""
+    fps = spark.createDataFrame([(k,) for k in range(5)], "fp bigint")
+    plans, held = [], simhash.checkpointed
+    with pytest.MonkeyPatch.context() as patched:
+        patched.setattr(simhash, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().toString()) or held(df))
+        plans.append(near_links(fps, light=2)._jdf.queryExecution().toString())
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastExchange" not in p for p in plans)
