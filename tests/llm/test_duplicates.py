@@ -608,3 +608,13 @@ def test_nothing_exploded_is_broadcast(spark):
         patched.setattr(simhash, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().toString()) or held(df))
         plans.append(near_links(fps, light=2)._jdf.queryExecution().toString())
     assert len(plans) == 2 and all("SortMergeJoin" in p and "BroadcastExchange" not in p for p in plans)
+
+
+def test_no_side_of_similar_texts_is_broadcast(spark, monkeypatch):
+    """Sets of shingles are far larger than Spark takes them for."""
+    docs = spark.createDataFrame([(k, f"{'a b c d e f g h ' * 4}{k // 2}") for k in range(6)], "doc_id bigint, text string")
+    prints, signed = simhash.fingerprints(docs), near_copies.signatures(docs)
+    plans, held = [], near_copies.checkpointed
+    monkeypatch.setattr(near_copies, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().toString()) or held(df))
+    near_copies.similar_links(docs, prints, signed, 0.8)
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
