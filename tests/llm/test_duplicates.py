@@ -618,3 +618,39 @@ def test_no_side_of_similar_texts_is_broadcast(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "checkpointed", lambda df: plans.append(df._jdf.queryExecution().toString()) or held(df))
     near_copies.similar_links(docs, prints, signed, 0.8)
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_words_inserted_again_and_again(spark):
+    # Of the 16 words beside a seed few are in step, yet four of five words match.
+    rng = np.random.RandomState(3)
+    rows, expected = [], set()
+    for k in range(60):
+        passage, other, *around = (rng.randint(0, 1 << 30, n).astype(str).tolist() for n in (60, 60, 80, 80, 80, 80))
+        longer = [w for i, word in enumerate(passage) for w in ([word, other[i]] if i % 4 == 3 and i < 59 else [word])]
+        a, b = (" ".join([*around[k], *part, *around[k + 1]]) for k, part in ((0, passage), (2, longer)))
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        x, y = word_hashes(a), word_hashes(b)
+        (hash_a, spot_a), (hash_b, spot_b) = seeds(x), seeds(y)
+        i, j = np.nonzero(hash_a[:, None] == hash_b)
+        matched = chains(spot_a[i], spot_b[j]) if len(i) else []
+        if any(passages(x.tolist(), y.tolist(), 0, 0, chain) for chain in matched):
+            expected |= {2 * k, 2 * k + 1}
+    assert len(expected) > 80
+    found = repeated_passages(frame(spark, rows)).collect()
+    assert {r["doc"] for r in found} == expected
+
+
+def test_rows_of_a_tile_need_no_like_context():
+    rng = np.random.RandomState(5)
+    met = unlike = 0
+    for _ in range(200):
+        passage = rng.randint(0, 1 << 32, 60, np.int64).astype(np.uint32)
+        longer = [w for i, word in enumerate(passage) for w in [word, *rng.randint(0, 1 << 32, int(i % 4 == 3), np.int64).astype(np.uint32)]]
+        sides, at = [passage, np.array(longer, np.uint32)], np.array([28, 35])
+        before, after = substring.contexts(sides, [at[:1], at[1:]])
+        spans = passages(*(x.tolist() for x in sides), 0, 0, [(28, 35)])
+        found = substring.tile_passages(np.arange(2), np.arange(2), np.zeros(2), after, before, at, sides)
+        assert [f[2] for f in found] == [spans] * bool(spans)
+        met += bool(spans)
+        unlike += bool(spans) and not (substring._alike(after[:1], after[1:]) | substring._alike(before[:1], before[1:]))[0]
+    assert met > 100 and unlike
