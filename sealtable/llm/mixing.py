@@ -121,11 +121,17 @@ class Mix:
 
     def rate(self, posterior: Column) -> Column:
         """The rate of a document with this posterior."""
-        rate = F.lit(min(max(1.0, self.least), self.most))
-        for step in self.steps:
-            move = sum((F.get(posterior, F.lit(k)) * F.lit(s) for k, s in enumerate(step)), F.lit(0.0))
-            rate = F.least(F.lit(self.most), F.greatest(F.lit(self.least), rate - move))
-        return rate
+        start = F.lit(min(max(1.0, self.least), self.most))
+        if not self.steps:
+            return start
+        # The steps are data: written out, each one more would make code of its own to compile, here and on all executors.
+        steps = F.array(*[F.array(*[F.lit(s) for s in step]) for step in self.steps])
+
+        def moved(rate: Column, step: Column) -> Column:
+            move = sum((F.get(posterior, F.lit(k)) * F.get(step, F.lit(k)) for k in range(len(self.domains))), F.lit(0.0))
+            return F.least(F.lit(self.most), F.greatest(F.lit(self.least), rate - move))
+
+        return F.aggregate(steps, start, moved)
 
 
 def fit_mix(

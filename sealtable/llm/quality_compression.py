@@ -11,11 +11,13 @@ shuffle, with a broadcast of two dictionaries of a fixed size.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,7 +115,19 @@ def fit_compression(
     docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES
 ) -> CompressionModel:
     """A model from at most ``max_rows`` labelled texts of at most ``max_bytes`` bytes, held-out rows excluded."""
-    rows = labelled_rows(docs, labels, label, max_rows).filter(F.octet_length("text") <= max_bytes).toPandas()
+    rows = labelled_rows(docs, labels, label, max_rows).filter(F.octet_length("text") <= max_bytes)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if parts := [b.to_pandas() for b in batches if b.num_rows]:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_fitted(pd.concat(parts)))], pa.binary())], names=["model"])
+
+    # A bounded sample, so one task takes it all; the driver gets the model alone.
+    model = rows.repartition(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(bytes(model[0])) if model else _fitted(pd.DataFrame({"_id": [], "label": [], "text": []}))
+
+
+def _fitted(rows: pd.DataFrame) -> CompressionModel:
+    """A model from rows (_id, label, text), in whatever order they are."""
     rows = rows.sort_values(["_id", "label", "text"]).sample(frac=1, random_state=7)
     texts, y = [t.encode() for t in rows["text"]], (rows["label"].to_numpy() > 0).astype(float)
     prior = float((y.sum() + 1) / (len(y) + 2))

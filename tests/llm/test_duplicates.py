@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -654,3 +655,12 @@ def test_rows_of_a_tile_need_no_like_context():
         met += bool(spans)
         unlike += bool(spans) and not (substring._alike(after[:1], after[1:]) | substring._alike(before[:1], before[1:]))[0]
     assert met > 100 and unlike
+
+
+def test_join_hot_broadcasts_hot_keys_alone(spark):
+    # Spark takes both sides for small; what is not hot may be any size.
+    rows = spark.range(40).selectExpr("id % 20 as k", "id as v")
+    side = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    plan = common.join_hot(rows, side, "k")._jdf.queryExecution().executedPlan().toString()
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1 << 20
+    assert len(re.findall(r"BroadcastHashJoin", plan)) == 2 and "SortMergeJoin" in plan
