@@ -601,6 +601,44 @@ def test_lone_runs_are_as_aligned():
     assert substring._lone_runs([[left[0]], [left[0]]], [[0], [0]], pa.array([[{"a_spot": 0, "b_spot": 0}]], kind))[2] == [len(left[0])]
 
 
+def test_near_copies_are_linked_without_pairs_of_words(monkeypatch):
+    """Chains with gaps give what the alignment of each gives, which is made only where parts of one may be passages."""
+    rng = random.Random(37)
+    left, right, chained, expected = [], [], [], []
+    for n in range(300):
+        a = words(rng, 150).split()
+        b = [w if rng.random() > 0.01 * (n % 30) else "other" for w in a]
+        if n % 3 == 0:
+            del b[60 : 60 + n % 7]
+        if n % 5 == 0:
+            b[70:70] = words(rng, n % 90 + 1).split()
+        x, y = (word_hashes(" ".join(z)) for z in (a, b))
+        spots = [(int(i), int(j)) for h, i in zip(*seeds(x)) for g, j in zip(*seeds(y)) if h == g]
+        for chain in chains(*np.array(spots).T) if spots else []:
+            starts = [max(0, z - substring.MARGIN) for z in chain[0]]
+            u, v = (z[k : e + substring.KMER + substring.MARGIN] for z, k, e in zip((x, y), starts, chain[-1]))
+            left.append({"start": starts[0], "words": u.tobytes()})
+            right.append({"start": starts[1], "words": v.tobytes()})
+            chained.append([{"a_spot": i, "b_spot": j} for i, j in chain])
+            expected += [(len(left), *p[:4], p[4] / max(p[1] - p[0], p[3] - p[2])) for p in passages(u.tolist(), v.tolist(), *starts, chain)]
+    side = pa.struct([("start", pa.int32()), ("words", pa.binary())])
+    number = pa.array(range(1, len(left) + 1), pa.int64())
+    columns = [number, number, pa.array(left, side), pa.array(right, side), pa.array(chained, pa.list_(pa.struct([("a_spot", pa.int32()), ("b_spot", pa.int32())])))]
+    aligned = []
+    monkeypatch.setattr(substring, "passages", lambda *a: (aligned.append(1), passages(*a))[1])
+    (found,) = substring._link_rows(iter([pa.RecordBatch.from_arrays(columns, names=["a", "b", "left", "right", "chain"])]))
+    got = [tuple(row[c] for c in found.schema.names if c != "b") for row in found.to_pylist()]
+    assert sorted(got) == sorted(expected) and len(got) > 100
+    assert 0 < len(aligned) < len(got) * 2 // 3
+
+
+def test_common_words_are_as_many_as_aligned():
+    rng = random.Random(41)
+    for n in range(300):
+        x, y = ([rng.randrange(1 + n % 9) for _ in range(rng.randint(0, 80))] for _ in range(2))
+        assert substring._common(x, y) == len(substring._align(x, y))
+
+
 def test_nothing_exploded_is_broadcast(spark):
     """However small Spark takes a table for: its size is guessed from before the explode."""
     fps = spark.createDataFrame([(k,) for k in range(5)], "fp bigint")
